@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm import store
-from postlane.llm.tokens import Encoder
+from postlane.llm import store, tokens
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -62,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """Each document's ids and `end_id`, cut to at most `capacity`; the first piece takes the remainder."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer, keeps_blanks=True), np.array([end_id], "<u4")
+        encoder, end = tokens.shared(tokenizer, True), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
             for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
@@ -90,8 +89,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     """
     spark = docs.sparkSession
     cut = store.saved(pieces(docs, tokenizer, end_id, capacity))
-    tokens = cut.agg(F.sum("length")).first()[0] or 0
-    runs = max(1, tokens // (capacity * bins_per_run))
+    total = cut.agg(F.sum("length")).first()[0] or 0
+    runs = max(1, total // (capacity * bins_per_run))
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     dealt = cut.withColumn("o", order).withColumn("run", F.pmod(F.xxhash64("o", F.lit(1)), F.lit(runs)).cast("int"))
     dealt = dealt.repartition(min(runs, 4 * store.partitions(spark)), "run").sortWithinPartitions("run", "o", "doc_id", "piece")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlane.llm import near_dedup, packing, sharding, store, token_files, url_filter
+from postlane.llm import near_dedup, packing, sharding, store, token_files, topk, toxicity, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.folder(spark)
     token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2, keeps_blanks=False, vocabulary=49_408)
@@ -47,6 +55,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_maxscore_top_k": op2_maxscore_top_k,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_histogram_shards": op8_histogram_shards,
@@ -61,4 +71,10 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM
 m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.x = d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_SQL, "op7_url_filter": url_filter.oracle_sql()}
+_TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash_near_dedup": _NEAR_SQL, "op2_maxscore_top_k": _TOP_SQL, "op7_url_filter": url_filter.oracle_sql()}

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlane.llm import store
-from postlane.llm.tokens import Encoder
+from postlane.llm import store, tokens
 
 NULL_ID = -(1 << 63)
 
@@ -47,7 +46,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blank
         fs, path = store.filesystem(folder)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.{part:06d}-{uuid.uuid4().hex}"
-        encoder, n_docs, at = Encoder(tokenizer, keeps_blanks), 0, 0
+        encoder, n_docs, at = tokens.shared(tokenizer, keeps_blanks), 0, 0
         end = np.array([end_id], width)
         with fs.open_output_stream(f"{own}.ids") as ids, fs.open_output_stream(f"{own}.off") as off, fs.open_output_stream(f"{own}.doc") as doc:
             off.write(np.array([0], "<u8").tobytes())

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -34,16 +36,14 @@ class _Index(dict):
 
 
 class Encoder:
-    """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most."""
+    """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most;
+    when that many are known, later ones are encoded for the texts at hand only."""
 
-    def __init__(self, path: str, keeps_blanks: bool, memory: int = 600_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, memory: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_blanks, self.memory = Tokenizer.from_file(path), keeps_blanks, memory
-        self._forget()
-
-    def _forget(self) -> None:
         self.index = _Index()
         self.pool, self.starts, self.sizes, self.used = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
 
@@ -69,9 +69,11 @@ class Encoder:
         if not (new := self.index.new):
             return
         texts = [self._text_of(key) for key in new]
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got: list[list[int]] = []
+        for lo in range(0, len(texts), 2048):  # encodings are large; their ids are not
+            got += [x.ids for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 2048], add_special_tokens=False)]
         n, sizes = len(self.index), np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         if n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.empty(n, np.int64)]) for x in (self.starts, self.sizes))
         if self.used + len(flat) > len(self.pool):
@@ -80,16 +82,23 @@ class Encoder:
         self.sizes[n - len(new) : n] = sizes
         self.starts[n - len(new) : n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        new.clear()
+
+    def _trim(self, used: int) -> None:
+        """Forget what the last texts brought if that is beyond the memory."""
+        if len(self.index) > self.memory:
+            for key in self.index.new:
+                del self.index[key]
+            self.used = used
+        self.index.new.clear()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Each text's ids as uint32; null is empty. Works off a few MB of text at a time."""
+        """Each text's ids as uint32; null is empty. Works off some MB of text at a time."""
         group: list[str] = []
         size = 0
         for text in texts:
             group.append(text or "")
             size += len(group[-1])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from self._encode(group)
                 group, size = [], 0
         yield from self._encode(group)
@@ -97,8 +106,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
             return
-        if len(self.index) > self.memory:
-            self._forget()
+        used = self.used
         numbers = [self._number(t) for t in texts]
         self._learn()
         at = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
@@ -106,6 +114,13 @@ class Encoder:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.pool[np.arange(total) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        self._trim(used)
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, numbers)])]
         for i in range(len(texts)):
             yield ids[bounds[i] : bounds[i + 1]]
+
+
+@lru_cache(4)
+def shared(path: str, keeps_blanks: bool) -> Encoder:
+    """The worker's own encoder: what it has learned serves all tasks that the worker runs."""
+    return Encoder(path, keeps_blanks)
