@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlane.llm import near_dedup, packing, sharding, store, token_files, topk, toxicity, url_filter
+from postlane.llm import decontaminate, near_dedup, packing, passages, quality, sharding, store, token_files, topk, toxicity, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -38,6 +38,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).drop("ids")
 
 
+def op5_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES)
 
@@ -49,6 +57,10 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
@@ -58,8 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_maxscore_top_k": op2_maxscore_top_k,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_compact_window_passages": op5_compact_window_passages,
+    "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_url_filter,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_ordinal_quality": op9_ordinal_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 _NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

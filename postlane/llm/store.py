@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,3 +40,9 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, few: int = 500_000) -> DataFrame:
+    """`docs` but the rows whose doc_id is in `ids` (doc_id); sent to all tasks only up to `few` ids, some 8 MB. Null ids stay."""
+    gone = saved(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= few else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -255,8 +255,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(*fit_linear(texts, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
 
 
-def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of (doc_id, text)."""
+def _udf(docs: DataFrame, scorer: Scorer):
+    weights, bias = docs.sparkSession.sparkContext.broadcast(scorer.weights), scorer.bias
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -264,10 +264,19 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for part in parts:
             yield part.map(own.score, na_action=None).astype("float64")
 
-    weights, bias = docs.sparkSession.sparkContext.broadcast(scorer.weights), scorer.bias
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), score("text").alias("score"))
+    return score
+
+
+def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of (doc_id, text)."""
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), _udf(docs, scorer)("text").alias("score"))
     return named.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below `most`."""
+    return docs.filter(_udf(docs, train(docs, labels))("text") < most)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, train(docs, labels))
