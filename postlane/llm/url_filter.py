@@ -77,7 +77,8 @@ def rejected(shapes: DataFrame) -> DataFrame:
         spread = Z2 * F.col("all_b").cast("double") * (F.col("all_l") - F.col("all_b")) * F.col("l")
         name = F.when(F.col("seg") == "", "").when(thin, "*").when((F.col("l") > 0) & (gap * gap <= spread), "~").otherwise(F.col("seg"))
         named = children.join(nodes, ["host", "node"]).select("host", "node", "seg", name.alias("name"))
-        tree = tree.withColumn("seg", seg(k)).join(named, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("seg", "name")
+        # A table each level: the plan of a level names the one before it three times.
+        tree = store.saved(tree.withColumn("seg", seg(k)).join(named, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("seg", "name"))
     templates = tree.groupBy("host", "node").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     # Purity as whole numbers times the overall count, so that equal sums compare equal everywhere.
     reject = (F.col("l") > 0) & ((F.col("b") * labelled + WEIGHT * blocked).cast("double") >= PURITY * ((F.col("l") + WEIGHT) * labelled).cast("double"))
