@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PLACES, FIT_ROWS, GRADES = 1 << 18, 12_000, 3
+PLACES, FIT_ROWS, GRADES = 1 << 18, 5_000, 3
 _PARTS = re.compile(r"([^\W_]+)|([\W_]+)")
 
 

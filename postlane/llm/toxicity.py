@@ -29,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlane.llm import store
 
-#: Labelled rows that voters are mined from, at most; and of each class, rows that the classifier learns from.
-MINE_ROWS, FIT_ROWS, VOTERS = 12_000, 4_000, 48
+#: Labelled rows that voters are mined from and the classifier learns from, at most; and how many of them may be toxic.
+MINE_ROWS, FIT_ROWS, VOTERS = 8_000, 3_000, 48
+PLACES = 1 << 21
 # English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "jerk", "imbecile", "retard", "filth", "vermin", "bastard")
 PATTERNS = {
@@ -60,22 +62,54 @@ def distinct_words(text: str | None) -> set[str]:
     return {w.strip(_EDGE) for w in set((text or "").lower().split())} - {""}
 
 
-def features(text: str | None) -> set[str]:
-    return {t for w in distinct_words(text) for t in terms(w)}
+def significant(texts: list[str | None], target: np.ndarray, z_least: float) -> dict[str, tuple[float, float]]:
+    """Terms of four texts or more whose share differs between the classes by `z_least` standard errors: term -> (texts of the
+    class, texts of the other). Counted by hash first, so that the names of the many others are never held."""
+    n1, n0 = max(float(target.sum()), 1.0), max(float((1 - target).sum()), 1.0)
+    sums = np.zeros((2, PLACES))
+    places: dict[str, np.ndarray] = {}
+    for t, y in zip(texts, target):
+        if len(places) > 200_000:
+            places.clear()
+        mine = []
+        for w in distinct_words(t):
+            got = places.get(w)
+            if got is None:
+                got = places[w] = np.array([_place(x) for x in terms(w)])
+            mine.append(got)
+        if mine:
+            at = np.unique(np.concatenate(mine))
+            sums[0, at] += y
+            sums[1, at] += 1 - y
+    share = (sums[0] + sums[1] + 1) / (n1 + n0)
+    z = np.abs(sums[0] / n1 - sums[1] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    open_ = (z >= z_least / 2) & (sums[0] + sums[1] >= 4)
+    out: dict[str, list[float]] = {}
+    for t, y in zip(texts, target):
+        for f in {x for w in distinct_words(t) for x in terms(w) if open_[_place(x)]}:
+            both = out.setdefault(f, [0.0, 0.0])
+            both[0] += y
+            both[1] += 1 - y
+    kept = {}
+    for f, (a, b) in out.items():
+        of_all = (a + b + 1) / (n1 + n0)
+        if a + b >= 4 and abs(a / n1 - b / n0) >= z_least * (of_all * (1 - of_all) * (1 / n1 + 1 / n0)) ** 0.5:
+            kept[f] = (a, b)
+    return kept
+
 
+def _place(term: str) -> int:
+    return xxhash.xxh3_64_intdigest(term) & (PLACES - 1)
 
-def mine(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
-    """Voters: terms by how far their share in toxic texts is above that in others, none that a chosen one's text pattern covers."""
-    count: dict[str, list[int]] = {}
-    for t, y in zip(texts, toxic):
-        for f in features(t):
-            count.setdefault(f, [0, 0])[y] += 1
+
+def mine(texts: list[str | None], toxic: np.ndarray, most: int) -> list[str]:
+    """Voters: terms by how far their share in toxic texts is above that in others, none that begins with a chosen one or the reverse."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     rank = []
-    for f, (a, b) in count.items():
-        p, q = b / n1, a / n0
-        if b >= 8 and p > 5 * q:
-            rank.append(((p - q) / ((p * (1 - p) / n1 + (q + 1 / n0) / n0) ** 0.5), len(f) * -1, f))
+    for f, (a, b) in significant(texts, toxic, 5.0).items():
+        p, q = a / n1, b / n0
+        if a >= 8 and p > 5 * q:
+            rank.append(((p - q) / ((p * (1 - p) / n1 + (q + 1 / n0) / n0) ** 0.5), -len(f), f))
     chosen: list[str] = []
     for _, _, f in sorted(rank, reverse=True):
         stem = f.rstrip("*")
@@ -177,27 +211,15 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.bias + votes @ self.weights, -30, 30)))
 
 
-def fit_linear(texts: list[str], target: np.ndarray, rounds: int = 1000, z_least: float = 5.0) -> tuple[dict[str, float], float]:
+def fit_linear(texts: list[str | None], target: np.ndarray, rounds: int = 600, z_least: float = 5.0) -> tuple[dict[str, float], float]:
     """Logistic regression on soft labels: weights of terms, and the bias.
 
     Only terms whose share differs between the classes by `z_least` standard
     errors take part, so that words of single texts carry no weight.
     """
-    rows = [features(t) for t in texts]
-    seen: dict[str, list[float]] = {}
-    for r, y in zip(rows, target):
-        for f in r:
-            both = seen.setdefault(f, [0.0, 0.0])
-            both[0] += y
-            both[1] += 1 - y
-    n1, n0 = max(target.sum(), 1), max((1 - target).sum(), 1)
-    names = []
-    for f, (a, b) in seen.items():
-        p, q, all_share = a / n1, b / n0, (a + b + 1) / (n1 + n0)
-        if a + b >= 4 and abs(p - q) >= z_least * (all_share * (1 - all_share) * (1 / n1 + 1 / n0)) ** 0.5:
-            names.append(f)
+    names = sorted(significant(texts, target, z_least))
     at = {f: i for i, f in enumerate(names)}
-    idx = [np.fromiter((at[f] for f in r if f in at), np.int64) for r in rows]
+    idx = [np.array(sorted({at[f] for w in distinct_words(t) for f in terms(w) if f in at}), np.int64) for t in texts]
     sizes = np.array([len(i) for i in idx])
     flat, owner = np.concatenate([*idx, np.empty(0, np.int64)]), np.repeat(np.arange(len(idx)), sizes)
     w, bias, hist, hb = np.zeros(len(names)), 0.0, np.full(len(names), 1e-8), 1e-8
@@ -236,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     # Bounded samples by hash order, chosen on ids before any text is read.
-    chosen = marks.filter("toxic = 1").orderBy(order).limit(FIT_ROWS).unionByName(marks.filter("toxic = 0").orderBy(order).limit(max(MINE_ROWS, FIT_ROWS) - FIT_ROWS))
+    chosen = marks.filter("toxic = 1").orderBy(order).limit(FIT_ROWS).unionByName(marks.filter("toxic = 0").orderBy(order).limit(MINE_ROWS - FIT_ROWS))
     share = marks.agg(F.avg("toxic")).first()[0]
     if share is None or share in (0, 1):
         share = 0.0 if share is None else float(share)
