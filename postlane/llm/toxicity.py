@@ -220,7 +220,7 @@ def fit_linear(texts: list[str | None], target: np.ndarray, rounds: int = 600, z
     names = sorted(significant(texts, target, z_least))
     at = {f: i for i, f in enumerate(names)}
     idx = [np.array(sorted({at[f] for w in distinct_words(t) for f in terms(w) if f in at}), np.int64) for t in texts]
-    sizes = np.array([len(i) for i in idx])
+    sizes = np.array([len(i) for i in idx], np.int64)
     flat, owner = np.concatenate([*idx, np.empty(0, np.int64)]), np.repeat(np.arange(len(idx)), sizes)
     w, bias, hist, hb = np.zeros(len(names)), 0.0, np.full(len(names), 1e-8), 1e-8
     for _ in range(rounds):
