@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
         encoder, end = tokens.shared(tokenizer, True), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
-            for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
+            for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids = np.concatenate([ids, end])
                 at = 0
                 for k in range(-(-len(ids) // capacity)):

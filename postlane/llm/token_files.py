@@ -52,7 +52,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blank
             off.write(np.array([0], "<u8").tobytes())
             for batch in batches:
                 sizes = []
-                for x in encoder.encode(batch.column("text").to_pylist()):
+                for x in encoder.encode(batch.column("text")):
                     ids.write(x.astype(width).tobytes() + end.tobytes())
                     sizes.append(len(x) + 1)
                 ends = at + np.cumsum(np.array(sizes, np.int64))

@@ -19,7 +19,7 @@ import numpy as np
 # White space besides blank and line end, of any definition.
 _ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 _RUNS = re.compile("  | \n|\n |\n\n")
-_MARK = "\0"
+_MARK, _ENDS = "\0", (",", ".")
 _PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 
@@ -39,11 +39,12 @@ class Encoder:
     """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most;
     when that many are known, later ones are encoded for the texts at hand only."""
 
-    def __init__(self, path: str, keeps_blanks: bool, memory: int = 1_000_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, memory: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_blanks, self.memory = Tokenizer.from_file(path), keeps_blanks, memory
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in _ENDS}
         self.index = _Index()
         self.pool, self.starts, self.sizes, self.used = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64), 0
 
@@ -66,21 +67,31 @@ class Encoder:
         return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
 
     def _learn(self) -> None:
-        if not (new := self.index.new):
+        """Encode new pieces. A letter and a comma or full stop at the end never share a token, so such a piece is its stem and the mark."""
+        new, index = self.index.new, self.index
+        if not new:
             return
-        texts = [self._text_of(key) for key in new]
-        got: list[list[int]] = []
-        for lo in range(0, len(texts), 2048):  # encodings are large; their ids are not
-            got += [x.ids for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 2048], add_special_tokens=False)]
-        n, sizes = len(self.index), np.fromiter(map(len, got), np.int64, len(got))
+        ended = [key for key in new if key[-1:] in _ENDS and key[-2:-1].isalpha()]
+        stems = [index[key[:-1]] for key in ended]
+        before, apart = len(index) - len(new), set(ended)
+        whole = [key for key in new if key not in apart]
+        ids: dict[str, list[int]] = {}
+        for lo in range(0, len(whole), 2048):  # encodings are large; their ids are not
+            some = whole[lo : lo + 2048]
+            ids.update(zip(some, (x.ids for x in self.tokenizer.encode_batch_fast([self._text_of(key) for key in some], add_special_tokens=False))))
+        for key, stem in zip(ended, stems):
+            own = self.pool[self.starts[stem] : self.starts[stem] + self.sizes[stem]].tolist() if stem < before else ids[key[:-1]]
+            ids[key] = own + self.ends[key[-1]]
+        got = [ids[key] for key in new]
+        n, sizes = len(index), np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         if n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.empty(n, np.int64)]) for x in (self.starts, self.sizes))
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + len(flat), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used // 2 + len(flat), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.sizes[n - len(new) : n] = sizes
-        self.starts[n - len(new) : n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[before:n] = sizes
+        self.starts[before:n] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
 
     def _trim(self, used: int) -> None:
@@ -91,16 +102,18 @@ class Encoder:
             self.used = used
         self.index.new.clear()
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Each text's ids as uint32; null is empty. Works off some MB of text at a time."""
+    def encode(self, texts) -> Iterator[np.ndarray]:
+        """Each text's ids as uint32, of a list or an Arrow column; null is empty. Works off some MB of text at a time."""
         group: list[str] = []
         size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size > 2_000_000:
-                yield from self._encode(group)
-                group, size = [], 0
+        for lo in range(0, len(texts), 256):
+            some = texts[lo : lo + 256] if isinstance(texts, list) else texts.slice(lo, 256).to_pylist()
+            for text in some:
+                group.append(text or "")
+                size += len(group[-1])
+                if size > 2_000_000:
+                    yield from self._encode(group)
+                    group, size = [], 0
         yield from self._encode(group)
 
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
