@@ -39,7 +39,7 @@ class Encoder:
     """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most;
     when that many are known, later ones are encoded for the texts at hand only."""
 
-    def __init__(self, path: str, keeps_blanks: bool, memory: int = 500_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, memory: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
