@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ _OWN: list[str] = []
 
 def _own_root() -> str:
     if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="postlane-"))
+        path = tempfile.mkdtemp(prefix="postlane-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _OWN.append(f"file://{path}")
     return _OWN[0]
 
 
