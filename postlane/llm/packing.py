@@ -61,6 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     """Each document's ids and `end_id`, cut to at most `capacity`; the first piece takes the remainder."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.trim()
         encoder, end = tokens.shared(tokenizer, True), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
@@ -78,22 +79,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 1024, bins_per_run: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 2048, bins_per_run: int = 2000) -> DataFrame:
     """Pieces of (doc_id, text) with their sequence and place in it.
 
     Texts are read once and never shuffled; the pieces' lengths are. They are
     dealt by hash into runs of about `bins_per_run` full sequences, a number
-    that depends on the tokens alone, and each run is packed as a stream, in
-    hash order, with `open_bins` bins of state. What a run wastes is its last
-    open bins, a few in `bins_per_run`.
+    that depends on the tokens alone, and each run is packed as a stream with
+    `open_bins` bins of state. In a run, longer pieces arrive first, so that
+    shorter ones fill what these leave.
     """
+    docs = store.lean(docs)
     spark = docs.sparkSession
     cut = store.saved(pieces(docs, tokenizer, end_id, capacity))
     total = cut.agg(F.sum("length")).first()[0] or 0
     runs = max(1, total // (capacity * bins_per_run))
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     dealt = cut.withColumn("o", order).withColumn("run", F.pmod(F.xxhash64("o", F.lit(1)), F.lit(runs)).cast("int"))
-    dealt = dealt.repartition(min(runs, 4 * store.partitions(spark)), "run").sortWithinPartitions("run", "o", "doc_id", "piece")
+    dealt = dealt.repartition(min(runs, 4 * store.partitions(spark)), "run").sortWithinPartitions("run", F.desc("length"), "o", "doc_id", "piece")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, packer = None, None
