@@ -25,11 +25,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlane.llm import store, tokens
+
 PLACES, FIT_ROWS, GRADES = 1 << 18, 5_000, 3
 _PARTS = re.compile(r"([^\W_]+)|([\W_]+)")
 
@@ -128,6 +130,7 @@ def fit(texts: list[str | None], grades: np.ndarray, levels: int = GRADES, round
 
 def train(docs: DataFrame, labels: DataFrame) -> Ordinal:
     grade = F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2)
+    docs = store.lean(docs)
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), grade.alias("grade")).filter("doc_id is not null and grade is not null")
     chosen = marks.orderBy(F.xxhash64("doc_id")).limit(FIT_ROWS)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").toPandas()  # at most FIT_ROWS rows
@@ -141,16 +144,17 @@ def scored(docs: DataFrame, model: Ordinal, least_grade: int = 1, tail: float =
     """(doc_id, expected_grade, p_selected, selected): selected where P(grade >= least_grade) is at least `tail`."""
     weights, thresholds = docs.sparkSession.sparkContext.broadcast(model.weights), model.thresholds
 
-    @F.pandas_udf("expected_grade double, p_selected double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         maker, own = Features(), Ordinal(weights.value, thresholds)
-        for part in parts:
-            scores = np.array([float(own.weights[at] @ value) for at, value in map(maker.of, part)])
-            tails = own.tails(scores)
-            yield pd.DataFrame({"expected_grade": tails.sum(1), "p_selected": tails[:, least_grade - 1]})
-
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), score("text").alias("s"))
-    return named.select("doc_id", "s.expected_grade", "s.p_selected", (F.col("s.p_selected") >= tail).alias("selected"))
+        for batch in batches:
+            column = batch.column("text")
+            texts = (t for lo in range(0, len(column), 256) for t in column.slice(lo, 256).to_pylist())
+            tails = own.tails(np.array([float(own.weights[at] @ value) for at, value in map(maker.of, texts)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tails.sum(1)), pa.array(tails[:, least_grade - 1])], names=["doc_id", "expected_grade", "p_selected"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, "doc_id bigint, expected_grade double, p_selected double")
+    return rows.withColumn("selected", F.col("p_selected") >= tail)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,25 +27,22 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm import store
+from postlane.llm import store, tokens
 
 #: Labelled rows that voters are mined from and the classifier learns from, at most; and how many of them may be toxic.
 MINE_ROWS, FIT_ROWS, VOTERS = 8_000, 3_000, 48
 PLACES = 1 << 21
 # English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "jerk", "imbecile", "retard", "filth", "vermin", "bastard")
-PATTERNS = {
-    "#shout": re.compile(r"(?:\b[^\W\d_a-zß-öø-ÿ]{3,}\b\W+){4}"),
-    "#bang": re.compile(r"!{2,}"),
-    "#you": re.compile(r"\byou(?:'re| are)? (?:an? |such |so )*\w+", re.I),
-    "#insult": re.compile(r"\b(?:" + "|".join(INSULTS) + r")s?\b", re.I),
-}
+#: Voters that are no words: four shouted words, two exclamation marks, a "you are" frame, an insult.
+PATTERNS = ("#shout", "#bang", "#you", "#insult")
+_SHOUT = re.compile(r"(?:[A-ZÀ-ÖØ-Þ]{3,}\W+){4}")
+_YOU = re.compile(r"\byou(?:'re| are)? (?:an? |such |so )*\w")
 _EDGE = ".,;:!?\"'()[]{}<>*%&$#@|-_/\\"
 
 
@@ -126,21 +123,38 @@ class Voting:
     def __init__(self, lexicon: list[str]) -> None:
         self.names = [*lexicon, *PATTERNS]
         self.at = {f: i for i, f in enumerate(lexicon)}
+        self.insults = {x for w in INSULTS for x in (w, w + "s")}
         self.words: dict[str, tuple[int, ...]] = {}
 
+    def _voters(self, raw: str) -> tuple[int, ...]:
+        if len(self.words) > 200_000:
+            self.words.clear()
+        word = raw.strip(_EDGE)
+        hits = [self.at[t] for t in terms(word) if t in self.at] if word else []
+        if word in self.insults:
+            hits.append(len(self.names) - 1)
+        self.words[raw] = got = tuple(hits)
+        return got
+
     def row(self, text: str | None) -> np.ndarray:
-        out = np.zeros(len(self.names), np.int64)
-        for raw in set((text or "").lower().split()):
-            hits = self.words.get(raw)
+        text = text or ""
+        low, known = text.lower(), self.words
+        on = set()
+        for raw in set(low.split()):
+            hits = known.get(raw)
             if hits is None:
-                if len(self.words) > 500_000:
-                    self.words.clear()
-                word = raw.strip(_EDGE)
-                hits = self.words[raw] = tuple(self.at[t] for t in terms(word) if t in self.at) if word else ()
-            for i in hits:
-                out[i] = 1
-        for k, pattern in enumerate(PATTERNS.values()):
-            out[len(self.at) + k] = bool(pattern.search(text or ""))
+                hits = self._voters(raw)
+            if hits:
+                on.update(hits)
+        first = len(self.at)
+        if _SHOUT.search(text):
+            on.add(first)
+        if "!!" in text:
+            on.add(first + 1)
+        if "you" in low and _YOU.search(low):
+            on.add(first + 2)
+        out = np.zeros(len(self.names), np.int64)
+        out[list(on)] = 1
         return out
 
 
@@ -148,10 +162,11 @@ def moments(docs: DataFrame, lexicon: list[str]) -> tuple[np.ndarray, int]:
     """Sums of vote products over all rows of `docs`, and the rows: one small matrix from each task, added in the JVM."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         voting, n = Voting(lexicon), 0
         total = np.zeros((len(voting.names),) * 2, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
+            for text in batch.column("text"):  # one string at a time
                 v = voting.row(text.as_py())
                 on = np.flatnonzero(v)
                 if len(on):
@@ -242,7 +257,7 @@ class Scorer:
         for raw in set((text or "").lower().split()):
             got = known.get(raw)
             if got is None:
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 word = raw.strip(_EDGE)
                 got = known[raw] = tuple((t, self.weights[t]) for t in terms(word) if t in self.weights) if word else ()
@@ -254,7 +269,7 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from (doc_id, text) and (doc_id, toxic)."""
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = store.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     # Bounded samples by hash order, chosen on ids before any text is read.
@@ -277,27 +292,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(*fit_linear(texts, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
 
 
-def _udf(docs: DataFrame, scorer: Scorer):
-    weights, bias = docs.sparkSession.sparkContext.broadcast(scorer.weights), scorer.bias
+def _with_scores(rows: DataFrame, scorer: Scorer, finish, schema) -> DataFrame:
+    """`finish(batch, scores)` for each Arrow batch of `rows`; texts become Python strings a few hundred at a time."""
+    weights, bias = rows.sparkSession.sparkContext.broadcast(scorer.weights), scorer.bias
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         own = Scorer(weights.value, bias)
-        for part in parts:
-            yield part.map(own.score, na_action=None).astype("float64")
+        for batch in batches:
+            column = batch.column("text")
+            scores = [own.score(t) for lo in range(0, len(column), 256) for t in column.slice(lo, 256).to_pylist()]
+            yield finish(batch, np.array(scores, np.float64))
 
-    return score
+    return rows.mapInArrow(task, schema)
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of (doc_id, text)."""
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), _udf(docs, scorer)("text").alias("score"))
-    return named.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id").cast("bigint")).alias("held_out"), "text")
+    finish = lambda batch, scores: pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], names=["doc_id", "held_out", "score"])
+    return _with_scores(named, scorer, finish, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, most: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, whose score is below `most`."""
-    return docs.filter(_udf(docs, train(docs, labels))("text") < most)
+    return _with_scores(docs, train(docs, labels), lambda batch, scores: batch.filter(pa.array(scores < most)), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
