@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlane.llm import text
+from postlane.llm import store, text, tokens
 
 BITS, BLOCKS, RADIUS = 64, 8, 24
 #: Characters of items that are sent to every task at once; more are worked off in several passes.
@@ -124,6 +124,7 @@ def _index(items: tuple, k: int, radius: int) -> Index:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of each document for each item that it holds."""
+    docs = store.lean(docs)
     spark = docs.sparkSession
     known = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -134,6 +135,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
         items = spark.sparkContext.broadcast(tuple(sorted((r.item_id, r.text) for r in own.collect() if r.item_id is not None)))
 
         def task(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             index, memo = _index(items.value, k, radius), text.Words()
             for batch in batches:
                 out = []

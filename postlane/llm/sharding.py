@@ -68,8 +68,8 @@ def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
 
     A row's shard is floor(shards * bytes of all rows before it / all bytes), in key order: shards differ by one row's
     size at most, and equal texts stay together unless a splitter falls among them. `slot` counts a shard's rows in key
-    order from 0. Rows with equal keys stay together. No row is larger than zero bytes: `size` must be positive.
-    An empty table gives no rows.
+    order from 0. Rows with equal keys stay together, at neighbouring slots.
+    Sizes must be positive. An empty table gives no rows.
     """
     spark = rows.sparkSession
     slim = store.saved(rows.select("key", "size"))

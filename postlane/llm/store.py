@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch. Spark's own limit of 64 MB takes several times as much beside the heap for long texts and sets.
+BATCH_BYTES = "8m"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """`df`, with small Arrow batches from now on in its session, unless the session asks for smaller ones itself."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain = re.fullmatch(r"(-?\d+)b?", conf.get(key))  # as the default reads; other forms are a user's own
+    if plain and not 0 < int(plain[1]) <= 8 << 20:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

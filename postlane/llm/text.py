@@ -28,7 +28,7 @@ def words(text: str | None) -> list[bytes]:
 class Words(dict):
     """Word -> hash, each distinct word hashed once while it is remembered."""
 
-    def __init__(self, memory: int = 500_000) -> None:
+    def __init__(self, memory: int = 150_000) -> None:
         self.memory = memory
 
     def __missing__(self, word: bytes) -> int:

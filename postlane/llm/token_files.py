@@ -36,12 +36,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blank
     A part's files get their names when they are whole; a task that runs again
     writes the same bytes under the same names. The driver sees one row a part.
     """
+    docs = store.lean(docs)
     spark = docs.sparkSession
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tokens.trim()
         part = TaskContext.get().partitionId()
         fs, path = store.filesystem(folder)
         fs.create_dir(path, recursive=True)

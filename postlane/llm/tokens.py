@@ -8,6 +8,8 @@ matter are encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from collections.abc import Iterator
@@ -39,7 +41,7 @@ class Encoder:
     """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most;
     when that many are known, later ones are encoded for the texts at hand only."""
 
-    def __init__(self, path: str, keeps_blanks: bool, memory: int = 800_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, memory: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,3 +139,15 @@ class Encoder:
 def shared(path: str, keeps_blanks: bool) -> Encoder:
     """The worker's own encoder: what it has learned serves all tasks that the worker runs."""
     return Encoder(path, keeps_blanks)
+
+
+def forget() -> None:
+    """Give a worker's encoders back before a task of another kind, which a reused worker may run next to others."""
+    shared.cache_clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: workers stay between tasks, and so does what they once used."""
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)

@@ -99,7 +99,7 @@ def max_score(query: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.nda
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row of (vec_id, embedding) that `is_query` holds for, against all other ids."""
-    shards = store.saved(blocks(vectors, SHARD))
+    shards = store.saved(blocks(store.lean(vectors), SHARD))
     queries = blocks(vectors.filter(is_query).dropDuplicates(["vec_id"]), QUERIES)
     n = min(max(1, shards.count()), 4 * store.partitions(vectors.sparkSession))
     left = shards.select(F.pmod(F.xxhash64("block"), F.lit(n)).alias("shard"), "ids", "dims", "matrix")
