@@ -117,6 +117,15 @@ def mine(texts: list[str | None], toxic: np.ndarray, most: int) -> list[str]:
     return chosen
 
 
+def candidates(low: str, stems: set[str]) -> Iterator[str]:
+    """Distinct words of a lower-cased text, edges not stripped, but those that no term can be in: long ones that begin
+    with three letters or digits that no term begins with."""
+    for raw in set(low.split()):
+        start = raw[:3]
+        if start in stems or len(raw) < 6 or not start.isalnum():
+            yield raw
+
+
 class Voting:
     """Votes of all voters on a text, as a 0/1 row."""
 
@@ -124,6 +133,7 @@ class Voting:
         self.names = [*lexicon, *PATTERNS]
         self.at = {f: i for i, f in enumerate(lexicon)}
         self.insults = {x for w in INSULTS for x in (w, w + "s")}
+        self.stems = {t.rstrip("*")[:3] for t in (*lexicon, *self.insults)}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def _voters(self, raw: str) -> tuple[int, ...]:
@@ -140,7 +150,7 @@ class Voting:
         text = text or ""
         low, known = text.lower(), self.words
         on = set()
-        for raw in set(low.split()):
+        for raw in candidates(low, self.stems):
             hits = known.get(raw)
             if hits is None:
                 hits = self._voters(raw)
@@ -250,11 +260,12 @@ def fit_linear(texts: list[str | None], target: np.ndarray, rounds: int = 600, z
 class Scorer:
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias, self.words = weights, bias, {}
+        self.stems = {t.rstrip("*")[:3] for t in weights}
 
     def score(self, text: str | None) -> float:
         total, known = self.bias, self.words
         words = {}
-        for raw in set((text or "").lower().split()):
+        for raw in candidates((text or "").lower(), self.stems):
             got = known.get(raw)
             if got is None:
                 if len(known) > 200_000:

@@ -77,3 +77,11 @@ def test_cumulative_link_recovers_ordered_thresholds():
     scores = np.array([float(model.weights[at] @ value) for at, value in map(maker.of, texts)])
     expected = model.tails(scores).sum(1)
     assert np.abs(expected - np.array(grades)).mean() < 0.5
+
+
+def test_scores_equal_the_sum_over_all_terms():
+    weights = {"idio*": 1.5, "idiot": 0.5, "ab": 2.0, "xyz": -1.0, "réé*": 3.0}
+    own = toxicity.Scorer(weights, -1.0)
+    for text in ("an IDIOT, idiots! (idiotic", "ab. ,ab, abcdefgh", '"xyz" xyz-', "ab,,,,,, ...ab...", "rééux; Réé", "a--------", "", None, "clean words onlyhere"):
+        z = -1.0 + sum(weights.get(t, 0) for t in {t for w in toxicity.distinct_words(text) for t in toxicity.terms(w)})
+        assert abs(own.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
