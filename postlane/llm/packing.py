@@ -57,12 +57,12 @@ class Packer:
         return name, self.capacity - space
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """Each document's ids and `end_id`, cut to at most `capacity`; the first piece takes the remainder."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.trim()
-        encoder, end = tokens.shared(tokenizer, True), np.array([end_id], "<u4")
+        encoder, end = tokens.shared(tokenizer, True, remembered), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
             for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 2048, bins_per_run: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 2048, bins_per_run: int = 2000, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """Pieces of (doc_id, text) with their sequence and place in it.
 
     Texts are read once and never shuffled; the pieces' lengths are. They are
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     """
     docs = store.lean(docs)
     spark = docs.sparkSession
-    cut = store.saved(pieces(docs, tokenizer, end_id, capacity))
+    cut = store.saved(pieces(docs, tokenizer, end_id, capacity, remembered))
     total = cut.agg(F.sum("length")).first()[0] or 0
     runs = max(1, total // (capacity * bins_per_run))
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")

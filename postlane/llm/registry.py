@@ -34,7 +34,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.folder(spark)
-    token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2, keeps_blanks=False, vocabulary=49_408)
+    token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2, keeps_blanks=False, vocabulary=49_408, remembered=600_000)
     return token_files.read(spark, folder).drop("ids")
 
 
@@ -62,7 +62,7 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), remembered=900_000)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

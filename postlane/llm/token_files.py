@@ -30,7 +30,7 @@ from postlane.llm import store, tokens
 NULL_ID = -(1 << 63)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blanks: bool, vocabulary: int, parts: int | None = None) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blanks: bool, vocabulary: int, parts: int | None = None, remembered: int = tokens.REMEMBERED) -> None:
     """Encode `text` of every row, append `end_id`, and write the files of (doc_id, text).
 
     A part's files get their names when they are whole; a task that runs again
@@ -48,7 +48,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, keeps_blank
         fs, path = store.filesystem(folder)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.{part:06d}-{uuid.uuid4().hex}"
-        encoder, n_docs, at = tokens.shared(tokenizer, keeps_blanks), 0, 0
+        encoder, n_docs, at = tokens.shared(tokenizer, keeps_blanks, remembered), 0, 0
         end = np.array([end_id], width)
         with fs.open_output_stream(f"{own}.ids") as ids, fs.open_output_stream(f"{own}.off") as off, fs.open_output_stream(f"{own}.doc") as doc:
             off.write(np.array([0], "<u8").tobytes())

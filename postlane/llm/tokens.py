@@ -20,11 +20,15 @@ import numpy as np
 
 # White space besides blank and line end, of any definition.
 _ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
-_RUNS = re.compile("  | \n|\n |\n\n")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 _MARK, _ENDS = "\0", (",", ".")
 _PIECES = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 
+#: Distinct pieces that a worker remembers, some 250 bytes each; more save encoding where the workers have the room.
+REMEMBERED = 450_000
+
+
 class _Index(dict):
     """Piece -> number; new pieces queue for encoding."""
 
@@ -41,7 +45,7 @@ class Encoder:
     """`keeps_blanks`: whether blanks are part of tokens (byte-level) or dropped. `memory`: distinct pieces remembered at most;
     when that many are known, later ones are encoded for the texts at hand only."""
 
-    def __init__(self, path: str, keeps_blanks: bool, memory: int = 450_000) -> None:
+    def __init__(self, path: str, keeps_blanks: bool, memory: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,7 +60,7 @@ class Encoder:
             return text.replace("\n", " ").split(" ")
         if _ODD.search(text) or _MARK in text:
             return [_MARK + text]
-        if _RUNS.search(text):
+        if any(r in text for r in _RUNS):
             return [_MARK + p for p in _PIECES.findall(text)]
         first, *rest = text.replace("\n", " " + _MARK + "\n").split(" ")
         return [first if first[:1] == _MARK else _MARK + first, *rest] if first else rest
@@ -136,9 +140,9 @@ class Encoder:
 
 
 @lru_cache(4)
-def shared(path: str, keeps_blanks: bool) -> Encoder:
+def shared(path: str, keeps_blanks: bool, memory: int = REMEMBERED) -> Encoder:
     """The worker's own encoder: what it has learned serves all tasks that the worker runs."""
-    return Encoder(path, keeps_blanks)
+    return Encoder(path, keeps_blanks, memory)
 
 
 def forget() -> None:
