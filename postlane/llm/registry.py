@@ -34,8 +34,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = store.folder(spark)
-    token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2, keeps_blanks=False, vocabulary=49_408, remembered=600_000)
-    return token_files.read(spark, folder).drop("ids")
+    token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2, keeps_blanks=False, vocabulary=49_408, remembered=900_000)
+    return token_files.read(spark, folder, with_ids=False)
 
 
 def op5_compact_window_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

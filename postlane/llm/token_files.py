@@ -83,10 +83,11 @@ def _mapped(fs, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids): start counts the ids of all documents before; the checksum is over ids as 4-byte little-endian."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, and ids if asked for): start counts the ids of all documents before; the checksum is over ids as 4-byte little-endian."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         fs, path = store.filesystem(folder)
         for batch in batches:
             for row in batch.to_pylist():
@@ -98,10 +99,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     cuts = bounds - bounds[0]
                     crc = [zlib.crc32(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                     names = np.asarray(doc[lo:hi])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.int64(), mask=names == NULL_ID), pa.array(row["base"] + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.astype(np.int32)))],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    columns = {"doc_id": pa.array(names, pa.int64(), mask=names == NULL_ID), "start": pa.array(row["base"] + bounds[:-1]), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(crc, pa.int64())}
+                    if with_ids:
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(columns)
 
     manifest = spark.read.parquet(f"{folder}/manifest").repartition(store.partitions(spark), "part")
-    return manifest.mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return manifest.mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
