@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A window of a document has as many words as a benchmark item. Its fingerprint
+A window of a document has as many words as a benchmark item; where it would
+begin before the document or end after it, it is cut off there. Its fingerprint
 is the SimHash (64 bits) of its five-word shingles, each weighted by its
 count. Item fingerprints are indexed by eight blocks of 8 bits: fingerprints
 within 24 bits of each other are within 3 bits in at least one block, so
@@ -83,16 +84,16 @@ class Index:
             self.blocks[n] = [[own[near[v][self.prints[own, b]]] for v in range(256)] for b in range(BLOCKS)]
         self.sorted = {w: np.sort(np.fromiter(p, np.uint64, len(p))) for w, p in self.places.items()}
 
-    def windows(self, shingle_hashes: np.ndarray, width: int, n_words: int) -> set[tuple[int, int]]:
-        """(window length, start) of every window that holds an item's shingle where the item has it."""
+    def windows(self, shingle_hashes: np.ndarray, width: int, n_words: int) -> set[tuple[int, int, int]]:
+        """(item length, start, words) of every window that holds an item's shingle where the item has it, within the document."""
         there = self.sorted[width]
         at = np.searchsorted(there, shingle_hashes)
         marks = np.flatnonzero(there[np.minimum(at, len(there) - 1)] == shingle_hashes)
         out = set()
         for p in marks.tolist():
             for n, off in self.places[width][int(shingle_hashes[p])]:
-                if 0 <= p - off and p - off + n <= n_words:
-                    out.add((n, p - off))
+                start = max(p - off, 0)
+                out.add((n, start, min(p - off + n, n_words) - start))
         return out
 
     def match(self, hashes: np.ndarray, percent: int) -> dict[int, tuple[float, int, int]]:
@@ -105,15 +106,18 @@ class Index:
             found = self.windows(s, width, len(hashes))
             if not found:
                 continue
-            for n, start in sorted(found):
-                part = s[start : start + n - width + 1]
+            for n, start, size in sorted(found):
+                shingles = size - width + 1
+                if 100 * shingles < percent * (n - width + 1):
+                    continue  # too short for the similarity, whatever it holds
+                part = s[start : start + shingles]
                 mark = simhash(signs(part).sum(0))
                 close = np.unique(np.concatenate([self.blocks[n][b][int(mark[b])] for b in range(BLOCKS)]))
                 close = close[POPCOUNT[self.prints[close] ^ mark].sum(1) <= self.radius]
                 for i in close.tolist():
                     sim = similarity(part, self.shingles[i])
                     if 100 * sim >= percent and (-sim, start) < (-best.get(i, (0.0, 0, 0))[0], best.get(i, (0.0, 0, 0))[1]):
-                        best[i] = (sim, start, n)
+                        best[i] = (sim, start, size)
         return {self.items[i][0]: v for i, v in best.items()}
 
 

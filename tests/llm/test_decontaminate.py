@@ -48,3 +48,38 @@ def test_edits_short_items_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEM_CHARS", 40)  # several passes
     assert {(r.doc_id, r.item_id) for r in D.contaminated(df, benchmark).collect()} == want
     assert D.contaminated(df.limit(0), benchmark).count() == 0 and D.contaminated(df, benchmark.limit(0)).count() == 0
+
+
+def brute_cut_off(docs, items, k=5, percent=80):
+    """As `brute`, but windows may lie partly outside the document, where they hold a shingle of the item in its place."""
+    grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    out = {}
+    for i, w in items:
+        own = grams(w)
+        for d, words in docs:
+            there = grams(words)
+            for start in sorted({p - off for p, x in enumerate(there) for off, y in enumerate(own) if x == y}):
+                part = grams(words[max(start, 0) : start + len(w)])
+                names = set(part) | set(own)
+                small, large = (sum(f(part.count(g), own.count(g)) for g in names) for f in (min, max))
+                if 100 * small >= percent * large:
+                    out[d, i] = max(out.get((d, i), 0), small / large)
+    return out
+
+
+def test_items_cut_off_by_the_ends_of_a_document(spark):
+    rng = random.Random(7)
+    new = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    item = new(60)
+    docs = [
+        (1, item[:-1]), (2, item[1:]), (3, [*item[:30], *item[31:]]), (4, [*new(40), *item[:-4]]), (5, [*item[4:], *new(40)]),
+        (6, item[5:-5]), (7, [*new(9), *item[:-20]]), (8, item[:3]), (9, [*new(5), *item, *new(5)]),
+    ]
+    items = [(1, item), (2, [*item[:50], *new(10)])]
+    want = brute_cut_off(docs, items)
+    assert {(d, 1) for d in (1, 2, 3, 4, 5, 6, 9)} <= set(want) and not {(7, 1), (8, 1)} & set(want)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    got = D.contaminated(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(want)
+    size = {d: len(w) for d, w in docs}
+    assert all(abs(r.similarity - want[r.doc_id, r.item_id]) < 1e-9 and r.start_word + r.n_words <= size[r.doc_id] for r in got)
