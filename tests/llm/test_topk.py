@@ -13,12 +13,17 @@ def test_op2_equals_sql(spark):
     assert differences(spark, QUERIES["op2_maxscore_top_k"], ORACLE_SQL["op2_maxscore_top_k"], "/root/testdata/sf0.01") == []
 
 
+MOST = (1 << 63) - 1
+
+
 def brute(rows, k):
+    """Scores beyond a long rank as the nearest one."""
+    clip = lambda s: max(min(s, MOST), -MOST - 1)
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for q, a in good:
         if q % 3 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
+            found = sorted((-clip(sum(x * y for x, y in zip(a, b))), i) for i, b in good if i != q)[:k]
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(found)}
     return out
 
@@ -38,13 +43,28 @@ def test_ties_repeats_and_odd_vectors(spark, monkeypatch):
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_large_components_and_repeated_ids(spark):
+    rows = [(0, None), (0, [1.0, 2.0]), (1, [float(1 << 40), 3.0]), (2, [float(1 << 23), -5.0]), (3, [1.0, 1e300]), (4, [1e308, 0.0]), (6, [float(1 << 40), 7.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 3 == 0, 5).collect()}
+    assert got == brute([r for r in rows if r[0] != 4], 5)
+    # An id with two vectors is asked once, with the lesser one, and is a candidate twice.
+    twice = spark.createDataFrame([(0, [2.0]), (0, [1.0]), (1, [1.0]), (1, [3.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(twice, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 768), (0, 2, 1, 256 * 256)]
+
+
 def test_max_score_prunes_and_stays_exact():
     rng = np.random.default_rng(1)
     rows = np.floor(256 * rng.normal(size=(3000, 32)) * np.geomspace(1, 0.01, 32))
+    work, full_work = [0], 0
     for _ in range(20):
         q = np.floor(256 * rng.normal(size=32) * np.geomspace(1, 0.01, 32))
         own = rng.random(3000) < 0.01
-        places, scores = topk.max_score(q, rows, rows.min(0), rows.max(0), own, 5)
         full = np.where(own, -np.inf, rows @ q)
         want = np.lexsort((np.arange(3000), -full))[:5]
-        assert places.tolist() == want.tolist() and scores.tolist() == full[want].tolist()
+        for least in (-np.inf, full[want[-1]], full[want[2]]):
+            places, scores = topk.max_score(q, rows, rows.min(0), rows.max(0), own, 5, least, work)
+            sure = [i for i in want.tolist() if full[i] >= least]
+            assert places.tolist()[: len(sure)] == sure and scores[: len(sure)] == full[sure].tolist()
+            full_work += rows.size
+    assert work[0] < 0.6 * full_work
