@@ -3,10 +3,14 @@
 Pieces arrive one by one; each goes to the open bin with the least free space
 that still takes it. Open bins are a fixed number; their free spaces are the
 bits of one integer, so the best bin is the lowest bit at or above the piece's
-length. When a new bin is needed and none may be opened, the fullest closes.
-
-Null texts are empty, and an empty document is its end id alone. Repeated rows
-and null document ids are packed like any others. An empty table gives no rows.
+length. When a new bin is needed and none may be opened, the fullest closes
+for good. A bin that is full closes too.
+
+Null texts are empty, and an empty document is its end id alone. A text of any
+length is encoded whole and cut into pieces of the capacity. Repeated rows and
+null document ids are packed like any others; pieces that are alike in all
+columns may change places. An empty table gives no rows. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ class Packer:
     def __init__(self, capacity: int, open_bins: int) -> None:
         self.capacity, self.limit = capacity, open_bins
         self.free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
 
     def _pop(self, space: int) -> int:
         at = self.free[space]
@@ -49,6 +53,7 @@ class Packer:
         else:
             if self.open == self.limit:
                 self._pop((self.bits & -self.bits).bit_length() - 1)  # least free space: the fullest
+                self.closed += 1
             space, name, self.made = self.capacity, self.made, self.made + 1
         if left := space - length:
             self.free[left].append(name)
@@ -79,14 +84,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, remember
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 2048, bins_per_run: int = 2000, remembered: int = tokens.REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, open_bins: int = 256, bins_per_run: int = 2000, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """Pieces of (doc_id, text) with their sequence and place in it.
 
     Texts are read once and never shuffled; the pieces' lengths are. They are
     dealt by hash into runs of about `bins_per_run` full sequences, a number
     that depends on the tokens alone, and each run is packed as a stream with
-    `open_bins` bins of state. In a run, longer pieces arrive first, so that
-    shorter ones fill what these leave.
+    `open_bins` bins of state. Pieces arrive in the order of a hash of theirs, so
+    that no partitioning of the input changes the result.
     """
     docs = store.lean(docs)
     spark = docs.sparkSession
@@ -95,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     runs = max(1, total // (capacity * bins_per_run))
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     dealt = cut.withColumn("o", order).withColumn("run", F.pmod(F.xxhash64("o", F.lit(1)), F.lit(runs)).cast("int"))
-    dealt = dealt.repartition(min(runs, 4 * store.partitions(spark)), "run").sortWithinPartitions("run", F.desc("length"), "o", "doc_id", "piece")
+    dealt = dealt.repartition(min(runs, 4 * store.partitions(spark)), "run").sortWithinPartitions("run", "o", "doc_id", "piece")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, packer = None, None

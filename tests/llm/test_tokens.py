@@ -79,7 +79,7 @@ def test_op10_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     ids = dict(zip([d for d, _ in docs], expected([t for _, t in docs], "byte_bpe_50k.json", 0)))
     bins, least = check_packing(op10_best_fit_packing(spark, "/root/testdata/sf0.01").collect(), ids)
-    assert bins <= least * 1.02 + 1, (bins, least)
+    assert bins <= least * 1.03 + 1, (bins, least)
 
 
 def test_packing_odd_rows(spark):
@@ -93,4 +93,24 @@ def test_packer_takes_the_fullest_fitting_bin_and_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.take(n) for n in (6, 5, 4, 3, 8, 2)] == [(0, 0), (1, 0), (0, 6), (1, 5), (2, 0), (2, 8)]
     p = packing.Packer(10, 2)
-    assert [p.take(n) for n in (6, 7, 8, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
+    assert [p.take(n) for n in (6, 7, 8, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6)] and p.closed == 1
+
+
+def test_packer_stays_near_the_least_with_bins_closing():
+    rng = np.random.default_rng(4)
+    lengths = np.clip(rng.lognormal(6.2, 1.1, 20_000).astype(int), 1, 2048)
+    p = packing.Packer(2048, 256)
+    most, fill = 0, {}
+    for n in lengths.tolist():
+        name, place = p.take(n)
+        assert fill.get(name, 0) == place
+        fill[name] = place + n
+        most = max(most, p.open)
+    assert most == 256 and p.closed > 100 and max(fill.values()) <= 2048
+    assert p.made <= 1.02 * lengths.sum() / 2048
+
+
+def test_packing_does_not_depend_on_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = (sorted(map(tuple, packing.pack(docs.repartition(n), tokenizer("byte_bpe_50k.json"), bins_per_run=20, open_bins=8).collect())) for n in (1, 5))
+    assert a == b
