@@ -10,12 +10,17 @@ letters, digits, the punctuation that follows), punctuation runs, words, and
 binned statistics of the whole text (share of capitals, of repeated words, of
 punctuation, of words that repeat the word before; word length; length).
 Grades: 0 where quality is 0, 1 where quality is 1 and the text is toxic, 2
-where quality is 1 and it is not. Fitted on at most FIT_ROWS labelled rows,
-by hash order; every text is scored whole.
+where quality is 1 and it is not, or is not labelled toxic either way; rows
+without quality (null or neither 0 nor 1) are no ratings. Fitted on at most
+FIT_ROWS labelled rows, by hash order; every text is scored whole, words of any
+length too.
 
 Null and empty texts have the one feature of an empty text. Null ids and
-repeated rows get their rows. Without labels every score is 0. Other columns
-are not read.
+repeated rows get their rows; where an id repeats among the rated rows, its
+least text counts. Equal scores stay equal: no order breaks ties. Without labels
+(an empty table, or one grade only) all have score 0, and tails by thresholds 0
+and 1. An empty table gives no rows. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ _PARTS = re.compile(r"([^\W_]+)|([\W_]+)")
 def shape(word: str) -> str:
     """A word's case and marks: runs of one kind of character as one sign."""
     out: list[str] = []
-    for c in word[:40]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)

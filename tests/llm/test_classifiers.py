@@ -85,3 +85,10 @@ def test_scores_equal_the_sum_over_all_terms():
     for text in ("an IDIOT, idiots! (idiotic", "ab. ,ab, abcdefgh", '"xyz" xyz-', "ab,,,,,, ...ab...", "rééux; Réé", "a--------", "", None, "clean words onlyhere"):
         z = -1.0 + sum(weights.get(t, 0) for t in {t for w in toxicity.distinct_words(text) for t in toxicity.terms(w)})
         assert abs(own.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_op9_reads_whole_words():
+    maker = quality.Features()
+    long = "a" * 40
+    a, b = (maker.of(long + end)[0].tolist() for end in ("b", "7!"))
+    assert quality.shape(long + "b") != quality.shape(long + "7!") and set(a[:1]).isdisjoint(b[:1])
