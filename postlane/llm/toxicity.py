@@ -1,24 +1,33 @@
 """Toxicity by weak supervision.
 
-Voters: words and word beginnings that labelled toxic texts hold far more often
-than others (mined on a bounded sample of labelled rows), a fixed list of
-insults, and patterns (shouting, runs of exclamation marks, a "you are" frame).
-A voter votes when it finds itself in a text, else abstains.
-
-Label model: the votes' second moments over all training documents (labels not
-read) give each voter's accuracy, as the rank-one part of the covariance that a
-common cause leaves, fitted over the pairs that are not correlated beyond it;
-what stays of the covariance inside the classes are the correlations, and
-enter the posterior through its inverse. A row's own label, where it has one,
-is one more voter.
+Voters: lexicons, each the words and word beginnings of one stem that labelled
+toxic texts hold far more often than others (mined on a bounded sample of
+labelled rows); a fixed list of insults; patterns (shouting, runs of
+exclamation marks, a "you are" frame); and how many lexicon words a text holds:
+one, two or three, four to seven, more, none. A lexicon votes when it finds
+itself in a text that holds two lexicon words or more, else abstains. A row's
+own label, where it has one, is one more voter.
+
+Label model: a voter's accuracies (how often it votes on toxic and on other
+texts) are read off the labelled training rows, all of them; its correlations
+are what the votes' second moments over all training rows, labelled or not,
+hold beyond what these accuracies explain, and they divide the evidence of
+voters that repeat each other. The label's own accuracy is estimated too: how
+often it agrees with votes that leave no doubt. So a posterior can overrule a
+label, and rows without a label have one.
 
 Classifier: logistic regression over the distinct words of a text and their
-beginnings, on a bounded sample of training rows with posterior labels. A
-score uses the text alone. Rows whose crc32(doc_id) mod 5 is 0 train nothing.
+beginnings, trained on posteriors: of a bounded sample of labelled training
+rows, and of a bounded sample of rows without a label. A score uses the text
+alone. Rows whose crc32(doc_id) mod 5 is 0, or without an id, train nothing.
 
 Null and empty texts have no features and get the score of the bias. Null ids
-count as not held out and train nothing. Repeated rows each get a row. Without
-labels (an empty table, or one class only) every score is the class share.
+count as not held out. Texts of any length are read whole, their words once
+each. Repeated rows each get a row; where an id repeats among the training
+rows, its least text counts. A score of exactly 0.5 is predicted 1. Without
+labels (an empty table, or one class only) every score is the class share. An
+empty table gives no rows. Other columns are not read, whatever their names;
+`clean` hands them on.
 """
 
 from __future__ import annotations
@@ -34,13 +43,19 @@ from pyspark.sql import functions as F
 
 from postlane.llm import store, tokens
 
-#: Labelled rows that voters are mined from and the classifier learns from, at most; and how many of them may be toxic.
-MINE_ROWS, FIT_ROWS, VOTERS = 8_000, 3_000, 48
+#: Labelled rows that voters are mined from and the classifier learns from, at most; how many of them may be toxic; and
+#: rows without a label that it learns from, at most.
+MINE_ROWS, FIT_ROWS, PLAIN_ROWS = 8_000, 3_000, 2_000
+#: A lexicon term is in a toxic text so many times as often as in others, at least.
+LIFT, STEM = 20, 3
 PLACES = 1 << 21
 # English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "fool", "jerk", "imbecile", "retard", "filth", "vermin", "bastard")
 #: Voters that are no words: four shouted words, two exclamation marks, a "you are" frame, an insult.
 PATTERNS = ("#shout", "#bang", "#you", "#insult")
+#: Voters by the number of lexicon words: at least so many, but fewer than the next asks for; the last stands for none.
+COUNTS = (("#1", 1), ("#2", 2), ("#4", 4), ("#8", 8))
+NONE = "#none"
 _SHOUT = re.compile(r"(?:[A-ZÀ-ÖØ-Þ]{3,}\W+){4}")
 _YOU = re.compile(r"\byou(?:'re| are)? (?:an? |such |so )*\w")
 _EDGE = ".,;:!?\"'()[]{}<>*%&$#@|-_/\\"
@@ -99,22 +114,14 @@ def _place(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) & (PLACES - 1)
 
 
-def mine(texts: list[str | None], toxic: np.ndarray, most: int) -> list[str]:
-    """Voters: terms by how far their share in toxic texts is above that in others, none that begins with a chosen one or the reverse."""
+def mine(texts: list[str | None], toxic: np.ndarray) -> dict[str, list[str]]:
+    """Lexicons: stem -> its terms, those that toxic texts hold at least LIFT times as often as others."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    rank = []
-    for f, (a, b) in significant(texts, toxic, 5.0).items():
-        p, q = a / n1, b / n0
-        if a >= 8 and p > 5 * q:
-            rank.append(((p - q) / ((p * (1 - p) / n1 + (q + 1 / n0) / n0) ** 0.5), -len(f), f))
-    chosen: list[str] = []
-    for _, _, f in sorted(rank, reverse=True):
-        stem = f.rstrip("*")
-        if not any(c.rstrip("*").startswith(stem) or stem.startswith(c.rstrip("*")) for c in chosen):
-            chosen.append(f)
-        if len(chosen) == most:
-            break
-    return chosen
+    lexicons: dict[str, list[str]] = {}
+    for f, (a, b) in sorted(significant(texts, toxic, 5.0).items()):
+        if a >= 6 and a / n1 > LIFT * (b + 0.5) / n0:
+            lexicons.setdefault(f[:STEM].rstrip("*"), []).append(f)
+    return lexicons
 
 
 def candidates(low: str, stems: set[str]) -> Iterator[str]:
@@ -127,113 +134,116 @@ def candidates(low: str, stems: set[str]) -> Iterator[str]:
 
 
 class Voting:
-    """Votes of all voters on a text, as a 0/1 row."""
+    """Votes of all voters on a text, as the places of those that vote."""
 
-    def __init__(self, lexicon: list[str]) -> None:
-        self.names = [*lexicon, *PATTERNS]
-        self.at = {f: i for i, f in enumerate(lexicon)}
+    def __init__(self, lexicons: dict[str, list[str]]) -> None:
+        self.names = [*lexicons, *PATTERNS, *(name for name, _ in COUNTS), NONE]
+        self.at = {f: i for i, terms_ in enumerate(lexicons.values()) for f in terms_}
+        self.first = len(lexicons)
         self.insults = {x for w in INSULTS for x in (w, w + "s")}
-        self.stems = {t.rstrip("*")[:3] for t in (*lexicon, *self.insults)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.stems = {t.rstrip("*")[:3] for t in (*self.at, *self.insults)}
+        self.words: dict[str, tuple[str, tuple[int, ...], bool]] = {}
 
-    def _voters(self, raw: str) -> tuple[int, ...]:
+    def _voters(self, raw: str) -> tuple[str, tuple[int, ...], bool]:
         if len(self.words) > 200_000:
             self.words.clear()
         word = raw.strip(_EDGE)
-        hits = [self.at[t] for t in terms(word) if t in self.at] if word else []
-        if word in self.insults:
-            hits.append(len(self.names) - 1)
-        self.words[raw] = got = tuple(hits)
+        hits = tuple({self.at[t] for t in terms(word) if t in self.at}) if word else ()
+        self.words[raw] = got = (word, hits, word in self.insults)
         return got
 
-    def row(self, text: str | None) -> np.ndarray:
+    def places(self, text: str | None) -> list[int]:
         text = text or ""
         low, known = text.lower(), self.words
-        on = set()
+        on, held, insult = set(), set(), False
         for raw in candidates(low, self.stems):
-            hits = known.get(raw)
-            if hits is None:
-                hits = self._voters(raw)
+            got = known.get(raw)
+            if got is None:
+                got = self._voters(raw)
+            word, hits, bad = got
             if hits:
+                held.add(word)
                 on.update(hits)
-        first = len(self.at)
-        if _SHOUT.search(text):
-            on.add(first)
-        if "!!" in text:
-            on.add(first + 1)
-        if "you" in low and _YOU.search(low):
-            on.add(first + 2)
-        out = np.zeros(len(self.names), np.int64)
-        out[list(on)] = 1
+            insult |= bad
+        if len(held) < 2:
+            on.clear()
+        shouts = (_SHOUT.search(text) is not None, "!!" in text, "you" in low and _YOU.search(low) is not None, insult)
+        on.update(self.first + i for i, yes in enumerate(shouts) if yes)
+        level = sum(len(held) >= least for _, least in COUNTS)
+        on.add(len(self.names) - 1 if not level else self.first + len(PATTERNS) + level - 1)
+        return sorted(on)
+
+    def rows(self, texts: list[str | None]) -> np.ndarray:
+        """Votes as 0 and 1, a row for each text."""
+        out = np.zeros((len(texts), len(self.names)))
+        for row, t in zip(out, texts):
+            row[self.places(t)] = 1
         return out
 
 
-def moments(docs: DataFrame, lexicon: list[str]) -> tuple[np.ndarray, int]:
-    """Sums of vote products over all rows of `docs`, and the rows: one small matrix from each task, added in the JVM."""
+def moments(docs: DataFrame, marks: DataFrame, lexicons: dict[str, list[str]]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """Of all rows of (doc_id, text): sums of vote products, and the rows; of those in `marks` (doc_id, toxic): votes by class (0, 1)
+    and rows by class. Texts are read once and never shuffled; what is sent are the places of the votes, and counts of them."""
+    size = len(Voting(lexicons).names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
-        voting, n = Voting(lexicon), 0
-        total = np.zeros((len(voting.names),) * 2, np.int64)
+        voting = Voting(lexicons)
         for batch in batches:
-            for text in batch.column("text"):  # one string at a time
-                v = voting.row(text.as_py())
-                on = np.flatnonzero(v)
-                if len(on):
-                    total[np.ix_(on, on)] += 1
-            n += batch.num_rows
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array([*i, -1], pa.int32()), "j": pa.array([*j, -1], pa.int32()), "n": pa.array([*total[i, j], n], pa.int64())})
-
-    rows = docs.select("text").mapInArrow(task, "i int, j int, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    size = len(lexicon) + len(PATTERNS)
-    out, n = np.zeros((size, size)), 0
-    for r in rows:
-        if r.i < 0:
-            n = r.n
-        else:
-            out[r.i, r.j] = r.n
-    return out, n
+            votes = [voting.places(text.as_py()) for text in batch.column("text")]  # one string at a time
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.list_(pa.int32()))], names=["doc_id", "votes"])
+
+    votes = store.saved(docs.mapInArrow(task, "doc_id bigint, votes array<int>"))
+    sums, by_class, rows = np.zeros((size, size)), np.zeros((2, size)), np.zeros(2)
+    for r in votes.select(F.explode("votes").alias("i"), "votes").select("i", F.explode("votes").alias("j")).groupBy("i", "j").count().collect():  # voters squared
+        sums[r.i, r.j] = r["count"]
+    marked = votes.join(marks, "doc_id")
+    for r in marked.select("toxic", F.explode("votes").alias("i")).groupBy("toxic", "i").count().collect():
+        by_class[r.toxic, r.i] = r["count"]
+    for r in marked.groupBy("toxic").count().collect():
+        rows[r.toxic] = r["count"]
+    return sums, votes.count(), by_class, rows
 
 
 class LabelModel:
-    """Posterior of the hidden class from votes; `weights` and `bias` of its log odds."""
+    """Posterior log odds of the hidden class from votes: `bias` + votes @ `weights`, and `label` for each label."""
 
-    def __init__(self, sums: np.ndarray, n: int, share: float, lexicon_size: int) -> None:
-        n = max(n, 1)
+    def __init__(self, sums: np.ndarray, n: int, by_class: np.ndarray, rows: np.ndarray) -> None:
+        n, share = max(n, 1), float(np.clip(rows[1] / max(rows.sum(), 1), 1e-6, 1 - 1e-6))
+        miss, hit = (by_class + 0.5) / (rows[:, None] + 1)
+        self.accuracy = hit, miss
         mean = np.diag(sums) / n
         cov = sums / n - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        free = ~np.eye(len(mean), dtype=bool)
-        effect = np.zeros(len(mean))
-        # Off the diagonal, covariance is effect x effect; pairs that exceed it are correlated and leave the fit.
-        for _ in range(5):
-            effect = sd * 0.3
-            for _ in range(50):
-                for i in range(len(mean)):
-                    w = free[i] / np.outer(sd, sd)[i]
-                    bottom = (w * effect * effect).sum()
-                    effect[i] = max((w * cov[i] * effect).sum() / bottom, 0) if bottom else 0
-                effect = np.minimum(effect, 0.98 * sd)
-            rest = (cov - np.outer(effect, effect)) / np.outer(sd, sd)
-            free = (np.abs(rest) < 0.15) & ~np.eye(len(mean), dtype=bool)
-        spread = share * (1 - share)
-        gap = effect / spread**0.5
-        self.accuracy = np.clip(mean + (1 - share) * gap, 1e-6, 1 - 1e-6), np.clip(mean - share * gap, 1e-6, 1 - 1e-6)
-        self.correlation = np.where(free | np.eye(len(mean), dtype=bool), 0, rest)
-        inside = np.where(free, 0, cov - np.outer(effect, effect))
-        np.fill_diagonal(inside, np.maximum(np.diag(cov) - effect**2, 1e-4))
-        lone = np.diag(np.diag(inside))
-        hit, miss = self.accuracy
-        alone = np.log(hit / np.maximum(miss, 1e-3))
-        # Correlated voters share their evidence as the inverse covariance inside the classes divides it.
-        shared = np.linalg.solve(inside + 0.05 * lone, gap) * np.diag(inside) / np.where(gap > 0, gap, 1)
-        self.weights = np.clip(alone, 0, 6) * np.clip(np.where(gap > 0, shared, 0), 0, 1)
-        absent = np.log((1 - hit) / (1 - np.minimum(miss, 0.999)))
-        self.bias = np.log(share / (1 - share)) + np.clip((absent * np.clip(shared, 0, 1) * (gap > 0)).sum(), -4, 0)
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + votes @ self.weights, -30, 30)))
+        gap = hit - miss
+        inside = cov - np.outer(gap, gap) * share * (1 - share)
+        sd = np.sqrt(share * hit * (1 - hit) + (1 - share) * miss * (1 - miss))
+        eye = np.eye(len(gap), dtype=bool)
+        self.correlation = np.clip(inside / np.outer(sd, sd), -1, 1)
+        self.correlation[eye | (np.abs(self.correlation) < 0.15)] = 0
+        # What correlates inside the classes repeats evidence, which the inverse correlation divides; voters that exclude each other repeat none.
+        value, vector = np.linalg.eigh(np.maximum(self.correlation, 0) + eye)
+        joint = (vector * np.maximum(value, 0)) @ vector.T + 0.05 * eye
+        alone = np.where(gap == 0, 1e-9, gap) / sd
+        shared = np.clip(1.05 * np.linalg.solve(joint, alone) / alone, 0, 1)
+        shared[-1] = 1  # no lexicon word at all: no other voter says that
+        self.weights = np.clip(np.log(hit / miss), -6, 6) * shared
+        self.bias = float(np.log(share / (1 - share)))
+        self.label = 0.0
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        return np.clip(self.bias + votes @ self.weights, -30, 30)
+
+    def with_labels(self, votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Posteriors of labelled rows. The label's error is the share that votes of 99 to 1 or more contradict, one row added to either side."""
+        odds = self.log_odds(votes)
+        sure = odds > np.log(99)
+        wrong = (sure & (toxic == 0)).sum() + 1
+        self.label = float(np.log(max(sure.sum() + 2 - wrong, 1) / wrong))
+        return sigmoid(odds + np.where(toxic == 1, 1, -1) * self.label)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def fit_linear(texts: list[str | None], target: np.ndarray, rounds: int = 600, z_least: float = 5.0) -> tuple[dict[str, float], float]:
@@ -278,29 +288,38 @@ class Scorer:
         return 1 / (1 + np.exp(-min(max(total, -500), 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """A scorer from (doc_id, text) and (doc_id, toxic)."""
-    named = store.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id")
-    # Bounded samples by hash order, chosen on ids before any text is read.
-    chosen = marks.filter("toxic = 1").orderBy(order).limit(FIT_ROWS).unionByName(marks.filter("toxic = 0").orderBy(order).limit(MINE_ROWS - FIT_ROWS))
+def targets(docs: DataFrame, marks: DataFrame) -> tuple[list[str | None], np.ndarray, np.ndarray] | float:
+    """Texts of the bounded training samples, the posteriors to learn, and the labels (-1 for none), of (doc_id, text) and
+    (doc_id, toxic), training rows only; the share of toxic labels where these are of one class."""
     share = marks.agg(F.avg("toxic")).first()[0]
     if share is None or share in (0, 1):
-        share = 0.0 if share is None else float(share)
-        return Scorer({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    picked = named.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # at most MINE_ROWS rows
-    picked = picked.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+        return 0.0 if share is None else float(share)
+    order = F.xxhash64("doc_id")
+    # Samples by hash order, chosen on ids before any text is read.
+    chosen = marks.filter("toxic = 1").orderBy(order, "doc_id").limit(FIT_ROWS).unionByName(marks.filter("toxic = 0").orderBy(order, "doc_id").limit(MINE_ROWS - FIT_ROWS))
+    plain = docs.select("doc_id").join(marks, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(PLAIN_ROWS)
+    picked = docs.join(F.broadcast(chosen.unionByName(plain.withColumn("toxic", F.lit(-1)))), "doc_id").select("doc_id", "text", "toxic")
+    # An id that is labelled twice keeps its higher label; at most MINE_ROWS + PLAIN_ROWS ids come to the driver.
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     texts, toxic = picked["text"].tolist(), picked["toxic"].to_numpy(np.int64)
-    lexicon = mine(texts, toxic, VOTERS)
-    sums, n = moments(named.filter(~held_out(F.col("doc_id"))), lexicon)
-    model = LabelModel(sums, n, float(share), len(lexicon))
-    voting = Voting(lexicon)
-    votes = np.array([voting.row(t) for t in texts]).reshape(len(texts), len(voting.names))
-    posterior = model.posterior(votes)
-    # The row's own label as a voter that is right in 999 of 1000 cases.
-    odds = np.log(posterior / (1 - posterior)) + np.where(toxic == 1, 1, -1) * np.log(999)
-    return Scorer(*fit_linear(texts, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
+    labelled = np.flatnonzero(toxic >= 0)
+    lexicons = mine([texts[i] for i in labelled], toxic[labelled])
+    model = LabelModel(*moments(docs, marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), lexicons))
+    votes = Voting(lexicons).rows(texts)
+    posterior = sigmoid(model.log_odds(votes))
+    posterior[labelled] = model.with_labels(votes[labelled], toxic[labelled])
+    return texts, posterior, toxic
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """A scorer from (doc_id, text) and (doc_id, toxic)."""
+    known = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    named = store.lean(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(known)
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(known & F.col("toxic").isin(0, 1))
+    got = targets(named, marks)
+    if isinstance(got, float):
+        return Scorer({}, float(np.log(max(got, 1e-6) / max(1 - got, 1e-6))))
+    return Scorer(*fit_linear(*got[:2]))
 
 
 def _with_scores(rows: DataFrame, scorer: Scorer, finish, schema) -> DataFrame:

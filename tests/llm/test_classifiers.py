@@ -29,13 +29,42 @@ def test_label_model_finds_accuracies_and_correlated_copies():
     rng = np.random.default_rng(0)
     y = rng.random(60_000) < 0.2
     hit, miss = np.array([0.7, 0.6, 0.5, 0.4, 0.65, 0.3]), np.array([0.05, 0.1, 0.02, 0.3, 0.08, 0.3])
-    votes = (rng.random((60_000, 6)) < np.where(y[:, None], hit, miss)).astype(np.int64)
-    votes = np.concatenate([votes, votes[:, 2:3] ^ (rng.random((60_000, 1)) < 0.02)], 1)
-    model = toxicity.LabelModel((votes.T @ votes).astype(float), len(votes), 0.2, 7)
+    votes = (rng.random((60_000, 6)) < np.where(y[:, None], hit, miss)).astype(float)
+    votes = np.concatenate([votes, np.abs(votes[:, 2:3] - (rng.random((60_000, 1)) < 0.02))], 1)
+    none = (rng.random((60_000, 1)) < np.where(y, 0.1, 0.9)[:, None]).astype(float)
+    votes = np.concatenate([votes, none], 1)
+    marked = rng.random(60_000) < 0.3
+    by_class = np.array([votes[marked & ~y].sum(0), votes[marked & y].sum(0)])
+    model = toxicity.LabelModel(votes.T @ votes, len(votes), by_class, np.array([(marked & ~y).sum(), (marked & y).sum()]))
     assert np.abs(model.accuracy[0][:5] - hit[:5]).max() < 0.06 and np.abs(model.accuracy[1][:5] - miss[:5]).max() < 0.03
     assert abs(model.correlation[2, 6]) > 0.3 and abs(model.correlation[0, 1]) == 0
     assert model.weights[2] + model.weights[6] < 1.5 * np.log(hit[2] / miss[2])
-    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
+    assert ((model.log_odds(votes) > 0) == y).mean() > 0.9
+
+
+def test_targets_are_posteriors_that_can_overrule_labels(spark):
+    rng = np.random.default_rng(1)
+    bad, good = [f"vile{i}" for i in range(6)] + [f"foul{i}" for i in range(6)], [f"n{i}" for i in range(400)]
+    docs, labels = [], []
+    for d in range(1500):
+        toxic = d % 5 == 0
+        words = list(rng.choice(good, 30)) + (list(rng.choice(bad, 6, replace=False)) if toxic else [])
+        docs.append((d, " ".join(words)))
+        if d % 3:
+            labels.append((d, int(toxic)))
+    # Wrong labels on texts where the votes leave no doubt, a text without any vote that is labelled toxic, and a null id.
+    docs += [(2001, " ".join([*good[:30], *bad[3:9]])), (2003, " ".join(good[:30])), (None, " ".join(bad))]
+    labels += [(2001, 0), (2003, 1), (None, 0)]
+    known = ~toxicity.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").filter(known)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int").filter(known)
+    texts, posterior, label = toxicity.targets(frame, marks)
+    gold = np.array([any(b in t.split() for b in bad) for t in texts])
+    overruled = (label >= 0) & ((posterior > 0.5) != (label == 1))
+    assert overruled.any() and (posterior[gold] > 0.5).all()
+    plain = label < 0
+    assert plain.sum() > 300 and ((posterior[plain] > 0.5) == gold[plain]).all()
+    assert len(texts) == frame.count()
 
 
 def odd(spark):
