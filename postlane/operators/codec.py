@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlane.functions import bits as B
+from postlane.operators import postings as P
 
 
 def gaps(postings: DataFrame) -> DataFrame:
-    """(term_id, i, doc_id, gap): 0-based place and difference to the id before."""
-    w = Window.partitionBy("term_id").orderBy("doc_id")
-    before = F.coalesce(F.lag("doc_id").over(w), F.lit(0))
-    return postings.select("term_id", (F.row_number().over(w) - 1).cast("bigint").alias("i"), "doc_id", (F.col("doc_id") - before).alias("gap"))
+    """(term_id, i, doc_id, gap): 0-based place and difference to the id before. An id outside 0 to 2^32 - 1 raises an error:
+    the format's fields hold no more. Long lists are worked off in spans, so that no window sees one whole."""
+    placed = P.positions(postings.select("term_id", "doc_id"))
+    wrong = (F.col("doc_id") < 0) | (F.col("doc_id") > B.WORD_MASK)
+    gap = F.when(wrong, F.raise_error(F.concat(F.lit("id outside 0 to 4294967295: "), F.col("doc_id").cast("string"))).cast("bigint")).otherwise(F.col("doc_id") - F.coalesce("before", F.lit(0).cast("bigint")))
+    return placed.select("term_id", F.col("pos").alias("i"), "doc_id", gap.alias("gap"))
 
 
 def headers(postings: DataFrame, terms: DataFrame | None = None, gapped: DataFrame | None = None) -> DataFrame:
@@ -107,7 +110,8 @@ def decode(lists: DataFrame) -> DataFrame:
 
 
 def decode_two_level(lists: DataFrame, segments: int = 4) -> DataFrame:
-    """As `decode`, for lists too long for one task: sums inside segments, then the totals of the segments before."""
+    """As `decode`, with a list's gaps split over tasks: sums inside segments, then the totals of the segments before. The words of
+    a list are one row either way, less than 2 GB, or some 500 million postings."""
     width = F.greatest(F.floor(F.col("n") / segments), F.lit(1)).cast("bigint")
     cut = unpack_gaps(lists).withColumn("seg", F.least(F.floor(F.col("i") / width), F.lit(segments)).cast("bigint"))
     inside = F.sum("gap").over(Window.partitionBy("term_id", "seg").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -136,3 +140,13 @@ def roundtrip_diff(postings: DataFrame) -> DataFrame:
     back = decode(compress(postings)).withColumn("sign", F.lit(1))
     pairs = postings.select("term_id", "doc_id", F.lit(-1).alias("sign"))
     return back.unionByName(pairs).groupBy("term_id", "doc_id").agg(F.sum("sign").alias("d")).agg(F.coalesce(F.sum(F.abs("d")), F.lit(0)).alias("n_diff"))
+
+
+def metrics(postings: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(metric, value) of an index and its compressed form: lists, postings, largest id, mean length, bits, words, bits a posting."""
+    stats, heads = P.index_stats(postings, terms), headers(postings, terms)
+    sizes = heads.agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("bits"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
+    row = stats.crossJoin(F.broadcast(sizes))  # one row each
+    value = lambda c: F.col(c).cast("double")
+    named = {"lists": value("n_lists"), "postings": value("n_postings"), "max_doc_id": value("max_doc_id"), "mean_length": value("avg_len"), "bits": value("bits"), "words": value("words"), "bits_per_posting": F.try_divide(value("bits"), value("n_postings"))}
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in named.items()])))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlane.operators import postings as P
+from postlane.sources import places
 
 
 def and_division(postings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def and_division(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return found.join(need, "query_id").filter("hits = n_terms").select("query_id", "doc_id")
 
 
-def _survive(postings: DataFrame, queries: DataFrame, probe, start=None) -> DataFrame:
+def _survive(postings: DataFrame, queries: DataFrame, probe) -> DataFrame:
     """Shortest list first, then one round for each further rank.
 
     Rows carry their query's terms, shortest list first, so a round names the
@@ -36,7 +37,6 @@ def _survive(postings: DataFrame, queries: DataFrame, probe, start=None) -> Data
     terms = order.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_id"))), lambda e: e["term_id"]).alias("terms"))
     ranks = order.agg(F.max("rank")).first()[0] or 0
     left = terms.withColumn("term_id", F.get("terms", F.lit(0))).join(postings.distinct(), "term_id").select("query_id", "doc_id", "terms")
-    left = start(left) if start else left
     for k in range(1, ranks):
         left = probe(left.withColumn("term_id", F.get("terms", F.lit(k)))).filter("term_id is null or hit is not null").select("query_id", "doc_id", "terms")
     return left.select("query_id", "doc_id")
@@ -53,17 +53,52 @@ def and_svs_semi(postings: DataFrame, queries: DataFrame, hint: str | None = Non
     return _survive(postings, queries, lambda rows: rows.join(lists, ["term_id", "doc_id"], "left"))
 
 
-def and_svs_range(postings: DataFrame, queries: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Small-versus-small with the shortest lists dealt in contiguous id ranges; the union of the ranges is the result."""
-    n = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _survive(postings, queries, lambda rows: rows.join(_marked(postings), ["term_id", "doc_id"], "left"), start=lambda left: left.repartitionByRange(n, "doc_id", "query_id"))
+def _sliced(postings: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+    """(query_id, range, slices): for each stretch of `width` ids, what all lists of a query hold there, shortest slice first.
+
+    Lists are cut once, to slices of at most `width` distinct ids; a query's slices meet by (query, range) and never leave
+    it, so the lists of one query split over tasks. Ranges that some list has nothing in end here.
+    """
+    cut = P.spans(postings.distinct(), width).groupBy("term_id", F.col("span").alias("range")).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    terms = P.distinct_terms(queries).select("query_id", "term_id")
+    met = terms.join(cut, "term_id").groupBy("query_id", "range").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "term_id", "ids"))).alias("met"))
+    whole = met.join(P.active_terms(queries), "query_id").filter(F.size("met") == F.col("n_terms"))
+    return whole.select("query_id", "range", F.transform("met", lambda e: e["ids"]).alias("slices"))
+
+
+def _others() -> F.Column:
+    return F.slice("slices", F.lit(2), F.size("slices"))
+
+
+def and_svs_range(postings: DataFrame, queries: DataFrame, width: int = 4096) -> DataFrame:
+    """Small-versus-small inside id ranges: in each, list after list narrows what the shortest slice holds; the union of the ranges is the result."""
+    kept = F.aggregate(_others(), F.get("slices", F.lit(0)), lambda kept, ids: F.filter(kept, lambda x: F.array_contains(ids, x)))
+    return _sliced(postings, queries, width).select("query_id", F.explode(kept).alias("doc_id"))
+
+
+def and_adp_range(postings: DataFrame, queries: DataFrame, width: int = 4096) -> DataFrame:
+    """Element by element inside id ranges: an id of the shortest slice is looked up in one list after another and dropped at its
+    first miss; the range bounds every lookup at both ends."""
+    hits = F.filter(F.get("slices", F.lit(0)), lambda x: F.forall(_others(), lambda ids: F.array_contains(ids, x)))
+    return _sliced(postings, queries, width).select("query_id", F.explode(hits).alias("doc_id"))
 
 
 def and_hash_bucket(postings: DataFrame, queries: DataFrame, width: int = 512, hint: str | None = "shuffle_hash") -> DataFrame:
-    """Lists hashed by id range: the join's key is (term, bucket, id), so a probe meets its own bucket only."""
-    bucketed = _marked(postings).withColumn("bucket", F.floor(F.col("doc_id") / width).cast("bigint"))
-    bucketed = bucketed.hint(hint) if hint else bucketed
-    return _survive(postings, queries, lambda rows: rows.withColumn("bucket", F.floor(F.col("doc_id") / width).cast("bigint")).join(bucketed, ["term_id", "bucket", "doc_id"], "left"))
+    """Lists hashed into buckets of `width` ids: a probe is joined to its own (term, bucket) and scans what that holds."""
+    buckets = P.spans(postings.distinct(), width).groupBy("term_id", F.col("span").alias("bucket")).agg(F.collect_list("doc_id").alias("ids"))
+    buckets = buckets.hint(hint) if hint else buckets
+
+    def probe(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("bucket", F.floor(F.col("doc_id") / width).cast("bigint")).join(buckets, ["term_id", "bucket"], "left")
+        return met.withColumn("hit", F.when(F.array_contains("ids", F.col("doc_id")), True))
+
+    return _survive(postings, queries, probe)
+
+
+def and_hash_dealt(postings: DataFrame, queries: DataFrame, width: int = 512) -> DataFrame:
+    """Buckets dealt to tasks: a query's lists meet bucket by bucket, and hash sets of their ids are intersected there."""
+    kept = F.aggregate(_others(), F.get("slices", F.lit(0)), lambda kept, ids: F.array_intersect(kept, ids))
+    return _sliced(postings, queries, width).select("query_id", F.explode(kept).alias("doc_id"))
 
 
 def _fold(postings: DataFrame, queries: DataFrame, step, done=lambda c: c) -> DataFrame:
@@ -87,27 +122,20 @@ def and_svs_nullmark(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return _fold(postings, queries, mark, done=F.array_compact)
 
 
-def and_adp_range(postings: DataFrame, queries: DataFrame, width: int = 4096) -> DataFrame:
-    """Division with the id range as a second key: counts of a query that spans many ids split over tasks by range."""
-    terms = P.distinct_terms(queries).select("query_id", "term_id")
-    ranged = postings.distinct().withColumn("range", F.floor(F.col("doc_id") / width).cast("bigint"))
-    found = terms.join(ranged, "term_id").groupBy("query_id", "range", "doc_id").agg(F.count("*").alias("hits"))
-    return found.join(P.active_terms(queries), "query_id").filter("hits = n_terms").select("query_id", "doc_id")
-
-
-def and_adp_block(postings: DataFrame, queries: DataFrame, size: int = 1024, cell: int = 1 << 16) -> DataFrame:
-    """Block skipping: an id looks only into the one block of `size` ids whose [lo, hi] holds it.
+def and_adp_block(postings: DataFrame, queries: DataFrame, size: int = 1024) -> DataFrame:
+    """Block skipping: an id looks only into the one block of `size` ids that can hold it.
 
-    Blocks are entered under each id cell they touch, so that finding the block
-    is an equi join on (term, cell) and a range test.
+    The block is the last one that begins at or before the id, found by one ordered pass over block bounds and ids; then
+    an equi join on (term, bound) fetches it. Lists with ids far apart cost no more than others. Blocks and the survivors of
+    each round, which a round names twice, are written to the shared folder, so plans stay short.
     """
-    blocks = P.block_directory(postings.distinct(), size)
-    cells = blocks.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell).cast("bigint"), F.floor(F.col("hi") / cell).cast("bigint"))))
+    blocks = places.saved(P.block_directory(postings.distinct(), size).select("term_id", "lo", "hi", "ids"))
 
     def probe(rows: DataFrame) -> DataFrame:
-        there = cells.withColumnRenamed("term_id", "t").withColumnRenamed("cell", "c")
-        met = (F.col("term_id") == F.col("t")) & (F.floor(F.col("doc_id") / cell).cast("bigint") == F.col("c")) & F.col("doc_id").between(F.col("lo"), F.col("hi")) & F.array_contains("ids", F.col("doc_id"))
-        return rows.join(there, met, "left").withColumn("hit", F.col("block"))
+        rows = places.saved(rows)
+        at = P.block_of(blocks, rows.select("term_id", "doc_id"))
+        met = rows.join(at, ["term_id", "doc_id"], "left").join(blocks, ["term_id", "lo"], "left")
+        return met.withColumn("hit", F.when((F.col("doc_id") <= F.col("hi")) & F.array_contains("ids", F.col("doc_id")), True))
 
     return _survive(postings, queries, probe)
 
@@ -131,7 +159,7 @@ def pair_counts(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 STRATEGIES = {
-    "division": and_division, "svs_semi": and_svs_semi, "svs_range": and_svs_range, "hash_bucket": and_hash_bucket, "svs_fold": and_svs_fold,
+    "division": and_division, "svs_semi": and_svs_semi, "svs_range": and_svs_range, "hash_bucket": and_hash_bucket, "hash_dealt": and_hash_dealt, "svs_fold": and_svs_fold,
     "svs_nullmark": and_svs_nullmark, "adp_range": and_adp_range, "adp_block": and_adp_block,
 }
 

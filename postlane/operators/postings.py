@@ -6,7 +6,9 @@ term has an empty list; term 0 is an ordinary term.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,9 +73,26 @@ def active_terms(queries: DataFrame) -> DataFrame:
     return queries.groupBy("query_id").agg(F.count_distinct("term_id").alias("n_terms"))
 
 
-def positions(postings: DataFrame) -> DataFrame:
-    """0-based place of each posting in its ascending list."""
-    return postings.withColumn("pos", F.row_number().over(Window.partitionBy("term_id").orderBy("doc_id")).cast("bigint") - 1)
+#: Ids of one list that a window sees at once; longer lists are cut there, and what the cuts carry over is worked out apart.
+SPAN = 1 << 20
+
+
+def spans(postings: DataFrame, span: int = SPAN, at: str = "doc_id") -> DataFrame:
+    """`postings` with `span`: which stretch of `span` ids a row lies in. A window by (term_id, span) is bounded for any list."""
+    return postings.withColumn("span", F.floor(F.col(at) / span).cast("bigint"))
+
+
+def positions(postings: DataFrame, span: int = SPAN) -> DataFrame:
+    """0-based place of each posting in its ascending list, and the id before it (null for the first): (..., pos, before).
+
+    Places inside spans, plus what the spans before hold: one row a span is put in order over the whole list.
+    """
+    cut = spans(postings, span)
+    inside, over = Window.partitionBy("term_id", "span").orderBy("doc_id"), Window.partitionBy("term_id").orderBy("span")
+    sums = cut.groupBy("term_id", "span").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_top"))
+    carried = sums.select("term_id", "span", (F.sum("_n").over(over) - F.col("_n")).alias("_base"), F.lag("_top").over(over).alias("_last"))
+    placed = cut.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_lag", F.lag("doc_id").over(inside)).join(carried, ["term_id", "span"])
+    return placed.select(*postings.columns, (F.col("_base") + F.col("_i")).cast("bigint").alias("pos"), F.coalesce("_lag", "_last").alias("before"))
 
 
 def bucket_directory(postings: DataFrame, width: int = 512) -> DataFrame:
@@ -93,14 +112,36 @@ def block_directory(postings: DataFrame, size: int = 1024) -> DataFrame:
     return blocks.groupBy("term_id", "block").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
 
 
-def lower_bound(postings: DataFrame, probes: DataFrame) -> DataFrame:
+def _running(rows: DataFrame, start: Callable[[Column], Column], span: int) -> DataFrame:
+    """Of rows (term_id, at, order, value, others): `value` summed up or carried over, by `start`, over a list in the order of (at, order).
+
+    `start` is a window aggregate of a column. Spans are worked off apart, and their results carried on, as in `positions`.
+    """
+    cut = spans(rows, span, "at")
+    inside, over = Window.partitionBy("term_id", "span").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("term_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy("term_id", "span").agg(start(F.col("value")).alias("_whole"))
+    carried = whole.select("term_id", "span", start(F.col("_whole")).over(over).alias("_carried"))
+    return cut.withColumn("_upto", start(F.col("value")).over(inside)).join(carried, ["term_id", "span"])
+
+
+def lower_bound(postings: DataFrame, probes: DataFrame, span: int = SPAN) -> DataFrame:
     """For each distinct probe (term_id, target): the number of ids below the target, that is the first place with an id >= target.
 
     Probes and postings of a term are merged in one ordered pass, a running
     count instead of a probe x posting join. Unknown terms give 0.
     """
-    marks = probes.select("term_id", F.col("target").alias("at"), F.lit(0).alias("is_id")).dropna().distinct()
-    ids = postings.select("term_id", F.col("doc_id").alias("at"), F.lit(1).alias("is_id"))
-    below = F.sum("is_id").over(Window.partitionBy("term_id").orderBy("at", "is_id").rowsBetween(Window.unboundedPreceding, 0))
-    merged = marks.unionByName(ids).withColumn("pos", below)
-    return merged.filter("is_id = 0").select("term_id", F.col("at").alias("target"), "pos")
+    marks = probes.select("term_id", F.col("target").alias("at"), F.lit(0).alias("order"), F.lit(0).alias("value")).dropna().distinct()
+    ids = postings.select("term_id", F.col("doc_id").alias("at"), F.lit(1).alias("order"), F.lit(1).alias("value"))
+    merged = _running(marks.unionByName(ids), F.sum, span).filter("order = 0")
+    return merged.select("term_id", F.col("at").alias("target"), (F.coalesce("_upto", F.lit(0)) + F.coalesce("_carried", F.lit(0))).cast("bigint").alias("pos"))
+
+
+def block_of(blocks: DataFrame, probes: DataFrame, span: int = SPAN) -> DataFrame:
+    """Distinct probes (term_id, doc_id) with `lo`, the bound of the last block that begins at or before the id: null where none does.
+
+    Blocks (term_id, lo) and probes are merged in one ordered pass; neither is repeated, however far apart a list's ids are.
+    """
+    starts = blocks.select("term_id", F.col("lo").alias("at"), F.lit(0).alias("order"), F.col("lo").alias("value"))
+    marks = probes.select("term_id", F.col("doc_id").alias("at"), F.lit(1).alias("order"), F.lit(None).cast("bigint").alias("value")).dropna(subset=["term_id", "at"]).distinct()
+    merged = _running(starts.unionByName(marks), F.max, span).filter("order = 1")
+    return merged.select("term_id", F.col("at").alias("doc_id"), F.coalesce("_upto", "_carried").alias("lo"))

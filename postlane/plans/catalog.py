@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from postlane.operators import codec as C
 from postlane.operators import intersect as I
 from postlane.operators import postings as P
+from postlane.sources import formats, places
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,45 @@ def _stream_decode(postings: DataFrame) -> DataFrame:
     return C.decode(C.unpack_stream(C.pack_stream(postings), offsets))
 
 
+def _all_lists(postings: DataFrame) -> DataFrame:
+    """Nested lists of every term from 0 to the largest, empty ones too, as an index file holds them."""
+    top = postings.agg(F.max("term_id")).first()[0]
+    terms = postings.sparkSession.range(0 if top is None else top + 1).withColumnRenamed("id", "term_id")
+    lists = terms.join(P.nested_lists(postings), "term_id", "left")
+    return lists.select("term_id", F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids"))
+
+
+def _index_file(postings: DataFrame) -> DataFrame:
+    """The index written as index files and scanned again; the files' lists count on."""
+    path = places.folder(postings.sparkSession)
+    formats.write_index(_all_lists(postings), path)
+    lists = formats.numbered(formats.read_index(postings.sparkSession, path), "term_id", "term_id")
+    return lists.select("term_id", F.explode("doc_ids").alias("doc_id"))
+
+
+def _query_file(queries: DataFrame) -> DataFrame:
+    """The batch written as a query file and scanned again."""
+    path = places.folder(queries.sparkSession)
+    formats.write_queries(queries, path)
+    return formats.read_queries(queries.sparkSession, path)
+
+
+def _word_file(postings: DataFrame) -> DataFrame:
+    """The stream of all lists written as word files and read again."""
+    path = places.folder(postings.sparkSession)
+    formats.write_words(C.pack_stream(postings), path)
+    return formats.numbered(formats.read_words(postings.sparkSession, path), "pos", "k").select("k", "word")
+
+
+def _decompress_file(postings: DataFrame) -> DataFrame:
+    """All lists in one word file; from the file alone: headers, offsets, lists."""
+    spark, path = postings.sparkSession, places.folder(postings.sparkSession)
+    lists = _all_lists(postings)
+    formats.write_words(C.pack_stream(postings, lists.select("term_id")), path, files=1)
+    words = formats.read_words(spark, path).select(F.col("pos").alias("k"), "word")
+    return C.decode(C.unpack_stream(words, formats.stream_offsets(spark, path)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "postings_scan": _on_index(lambda p: p),
     "flatten_lists": _on_index(lambda p: P.flatten_lists(P.nested_lists(p))),
@@ -67,7 +107,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "and_adp_range": _on_both(I.and_adp_range),
     "and_adp_block1024": _on_both(I.and_adp_block),
     "and_hash512": _on_both(I.and_hash_bucket),
+    "and_hash512_dealt": _on_both(I.and_hash_dealt),
     "and_search": _on_both(I.search),
+    "index_file_scan": _on_index(_index_file),
+    "query_file_scan": _on_both(lambda p, q: _query_file(q)),
+    "word_file_round_trip": _on_index(_word_file),
+    "decompress_file": _on_index(_decompress_file),
+    "index_metrics": _on_index(C.metrics),
     "dgap": _on_index(lambda p: C.gaps(p).select("term_id", "doc_id", "gap")),
     "bit_width": _on_index(lambda p: C.headers(p).select("term_id", "n", "w")),
     "compressed_size": _on_index(lambda p: C.headers(p).select("term_id", "bits", F.col("n_words").alias("words"))),
@@ -114,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
     "bucket_directory": f"WITH {_POSTINGS}, pos AS (SELECT term_id, doc_id, row_number() OVER (PARTITION BY term_id ORDER BY doc_id) - 1 AS pos FROM p) SELECT term_id, doc_id // 512 AS bucket, min(pos) AS begin_pos, max(pos) AS end_pos FROM pos GROUP BY ALL",
     "lower_bound": f"WITH {_POSTINGS}, {_TERMS} SELECT q.term_id, q.query_id AS target, count(p.doc_id) AS pos FROM q LEFT JOIN p ON p.term_id = q.term_id AND p.doc_id < q.query_id GROUP BY q.term_id, q.query_id",
     "pair_intersect_count": f"WITH {_POSTINGS}, {_TERMS}, pairs AS (SELECT DISTINCT a.term_id AS term_a, b.term_id AS term_b FROM q a JOIN q b ON a.query_id = b.query_id AND a.term_id < b.term_id) SELECT term_a, term_b, count(*) AS n FROM pairs JOIN p a ON a.term_id = term_a JOIN p b ON b.term_id = term_b AND a.doc_id = b.doc_id GROUP BY term_a, term_b",
-    **{f"and_{k}": _AND for k in ("division", "svs_semi", "svs_merge", "svs_fold", "svs_nullmark", "svs_range", "adp_range", "adp_block1024", "hash512", "search", "on_compressed")},
+    **{f"and_{k}": _AND for k in ("division", "svs_semi", "svs_merge", "svs_fold", "svs_nullmark", "svs_range", "adp_range", "adp_block1024", "hash512", "hash512_dealt", "search", "on_compressed")},
     "dgap": f"WITH {_GAPS} SELECT term_id, doc_id, gap FROM g",
     "bit_width": f"WITH {_HEADS} SELECT term_id, n, w FROM sz",
     "compressed_size": f"WITH {_HEADS} SELECT term_id, bits, (bits + 31) // 32 AS words FROM sz",
@@ -126,4 +172,11 @@ ORACLE_SQL: dict[str, str] = {
     "decode_two_level": _SCAN,
     "decode_stream": _SCAN,
     "roundtrip_diff": "SELECT CAST(0 AS BIGINT) AS n_diff",
+    "index_file_scan": _SCAN,
+    "query_file_scan": f"WITH {_TERMS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY term_id) - 1 AS INTEGER) AS ord, term_id FROM q",
+    "decompress_file": _SCAN,
+    "index_metrics": f"WITH {_HEADS}, t AS (SELECT count(*) AS lists, CAST(sum(n) AS BIGINT) AS postings, CAST(sum(bits) AS BIGINT) AS bits, CAST(sum((bits + 31) // 32) AS BIGINT) AS words FROM sz), "
+    "m AS (SELECT max(doc_id) AS top FROM p) SELECT u.metric, u.value FROM t, m, LATERAL (VALUES ('lists', lists::DOUBLE), ('postings', postings::DOUBLE), ('max_doc_id', top::DOUBLE), "
+    "('mean_length', postings::DOUBLE / lists), ('bits', bits::DOUBLE), ('words', words::DOUBLE), ('bits_per_posting', bits::DOUBLE / postings)) AS u(metric, value)",
 }
+ORACLE_SQL["word_file_round_trip"] = ORACLE_SQL["pack_stream"]

@@ -1,5 +1,5 @@
 """Binary and text formats of indexes, query batches and word streams, as Spark data sources."""
 
-from postlane.sources.formats import register, read_index, read_queries, read_words, write_index, write_words
+from postlane.sources.formats import numbered, read_index, read_queries, read_words, register, stream_offsets, write_index, write_queries, write_words
 
-__all__ = ["register", "read_index", "read_queries", "read_words", "write_index", "write_words"]
+__all__ = ["numbered", "read_index", "read_queries", "read_words", "register", "stream_offsets", "write_index", "write_queries", "write_words"]

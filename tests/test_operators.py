@@ -36,9 +36,49 @@ def test_every_strategy_equals_brute_force(spark, name):
     assert {tuple(r) for r in got} == brute(LISTS, QUERIES)
 
 
-def test_small_blocks_and_cells(spark):
-    got = I.and_adp_block(make(spark, LISTS), ask(spark, QUERIES), size=4, cell=8).collect()
-    assert {tuple(r) for r in got} == brute(LISTS, QUERIES)
+def test_small_blocks_ranges_and_buckets(spark):
+    posts, queries = make(spark, LISTS), ask(spark, QUERIES)
+    for got in (I.and_adp_block(posts, queries, size=4), I.and_adp_range(posts, queries, width=8), I.and_svs_range(posts, queries, width=8), I.and_hash_bucket(posts, queries, width=4), I.and_hash_dealt(posts, queries, width=4)):
+        assert {tuple(r) for r in got.collect()} == brute(LISTS, QUERIES)
+
+
+def test_sparse_lists_cost_no_more_than_others(spark):
+    lists = {1: [i * 10**12 for i in range(1000)], 2: [i * 2 * 10**12 for i in range(1000)], 3: [5, 10**15]}
+    for name in ("adp_block", "adp_range", "svs_range", "hash_bucket", "hash_dealt"):
+        got = I.STRATEGIES[name](make(spark, lists), ask(spark, {0: [1, 2], 1: [1, 3], 2: [2, 3]})).collect()
+        assert {tuple(r) for r in got} == brute(lists, {0: [1, 2], 1: [1, 3], 2: [2, 3]})
+
+
+def test_plans_of_the_strategies_differ(spark):
+    posts, queries = make(spark, LISTS), ask(spark, QUERIES)
+    plan = lambda f: I.STRATEGIES[f](posts, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "forall" in plan("adp_range") and "forall" not in plan("svs_range") and "array_intersect" in plan("hash_dealt")
+    # Ranges stay where they are: the joins by list and by query, and no shuffle by document.
+    assert "doc_id" not in "".join(line for line in I.and_svs_range(posts, queries)._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(query_id" in line)
+
+
+def test_spans_of_long_lists(spark):
+    lists = {1: [0, 3, 4, 9, 10, 11, 30, 31], 2: [7], 3: [2**32 - 1]}
+    got = {(r.term_id, r.doc_id): (r.pos, r.before) for r in P.positions(make(spark, lists), span=5).collect()}
+    assert got == {(t, d): (i, ids[i - 1] if i else None) for t, ids in lists.items() for i, d in enumerate(ids)}
+    probes = spark.createDataFrame([(t, x) for t in (1, 2, 9) for x in range(0, 40)], "term_id bigint, target bigint")
+    got = {(r.term_id, r.target): r.pos for r in P.lower_bound(make(spark, lists), probes, span=5).collect()}
+    assert got == {(t, x): sum(d < x for d in lists.get(t, [])) for t in (1, 2, 9) for x in range(40)}
+    blocks = spark.createDataFrame([(1, 3), (1, 10), (1, 30)], "term_id bigint, lo bigint")
+    got = {(r.term_id, r.doc_id): r.lo for r in P.block_of(blocks, probes.withColumnRenamed("target", "doc_id"), span=5).collect()}
+    assert all(got[1, x] == max((lo for lo in (3, 10, 30) if lo <= x), default=None) for x in range(40)) and got[2, 7] is None
+
+
+@pytest.mark.parametrize("ids", [[-3, 9], [2**32], [5, 2**40]])
+def test_ids_that_the_format_cannot_hold_raise(spark, ids):
+    for f in (C.compress, C.pack_stream, C.headers, C.pack_words):
+        with pytest.raises(Exception, match="outside 0 to 4294967295"):
+            f(make(spark, {1: ids})).collect()
+
+
+def test_metrics_of_an_empty_index(spark):
+    got = {r.metric: r.value for r in C.metrics(make(spark, {1: [1]}).limit(0)).collect()}
+    assert got["lists"] == got["postings"] == got["bits"] == 0 and got["max_doc_id"] is None and got["bits_per_posting"] is None
 
 
 def test_no_queries_and_chooser(spark):
