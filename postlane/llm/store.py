@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlane.sources.places import filesystem, folder
 
-def folder(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests on one machine), below a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root()
-    return f"{root.rstrip('/')}/postlane-{uuid.uuid4().hex}"
+__all__ = ["filesystem", "folder", "lean", "mark", "partitions", "saved", "settled", "without_ids"]
 
 
-_OWN: list[str] = []
-
-
-def _own_root() -> str:
-    if not _OWN:
-        path = tempfile.mkdtemp(prefix="postlane-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _OWN.append(f"file://{path}")
-    return _OWN[0]
+#: Tables that this process saved, in order.
+_MADE: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
     """`df` written once as a table in the shared folder and read back: its lineage ends there, and lost executors cost no rerun."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """For `settled`: where tables saved from now on begin."""
+    return len(_MADE)
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """`saved`, and all tables saved since `since` that `df` may have been made of are deleted. Other frames made of them are lost."""
+    out = saved(df)
+    jvm = df.sparkSession._jvm
+    for path in _MADE[since:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _MADE[since:] = _MADE[-1:]
+    return out
+
+
 #: Bytes of one Arrow batch. Spark's own limit of 64 MB takes several times as much beside the heap for long texts and sets.
 BATCH_BYTES = "8m"
 
@@ -53,13 +57,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a URI or a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def without_ids(docs: DataFrame, ids: DataFrame, few: int = 500_000) -> DataFrame:
     """`docs` but the rows whose doc_id is in `ids` (doc_id); sent to all tasks only up to `few` ids, some 8 MB. Null ids stay."""
     gone = saved(ids.select("doc_id").distinct())

@@ -23,3 +23,16 @@ def test_without_ids_either_way(spark):
     ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id bigint")
     for few in (0, 500_000):
         assert sorted(r.text for r in store.without_ids(docs, ids, few).collect()) == ["b", "c"]
+
+
+def test_settled_keeps_the_last_table_only(spark):
+    import os
+
+    since = store.mark()
+    a = store.saved(spark.range(5))
+    was = store._MADE[-1].removeprefix("file://")
+    b = store.settled(a.filter("id > 1"), since)
+    (left,) = store._MADE[since:]
+    assert sorted(r.id for r in b.collect()) == [2, 3, 4] and os.path.isdir(left.removeprefix("file://"))
+    assert not os.path.isdir(was)
+
