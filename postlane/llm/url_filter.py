@@ -9,15 +9,19 @@ The tree: a path's segments that hold a digit become `*` at once. Level by
 level, the children of a node become `*` when they are many and thin (at least
 `many` distinct ones, with fewer than `thin` urls each on average); a child
 whose share of blocked urls does not differ significantly from that of all its
-labelled siblings is merged with the others like it into `~`. Urls that a rule
-decides are the labels. A template is rejected when its smoothed purity,
+labelled siblings is merged with the others like it into `~`, and so is a child
+without labels, which nothing sets apart from them. Urls that a rule decides
+are the labels. A template is rejected when its smoothed purity,
 (blocked + weight * overall share) / (labelled + weight), is at least `purity`;
-urls of no labelled template are allowed.
+urls of no labelled template are allowed. So an unlabelled branch is judged by
+the siblings that are like the host's average, or allowed where there are none.
 
 All of it is DataFrame functions. Counts are combined before each shuffle, and
 only distinct (host, shape) pairs take part in the tree. Levels past `depth`
-share one last segment. Clashing extra columns are not read. Repeated rows
-count as often as they occur and each get a row. An empty table gives no rows.
+share one last segment; urls of any length are read whole. Clashing extra
+columns are not read. Rules of equal length that both fit count in their given
+order. Repeated rows count as often as they occur and each get a row. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +79,7 @@ def rejected(shapes: DataFrame) -> DataFrame:
         thin = (F.col("kinds") >= MANY) & (F.col("all_n") < THIN * F.col("kinds"))
         gap = F.col("b").cast("double") * F.col("all_l") - F.col("all_b").cast("double") * F.col("l")
         spread = Z2 * F.col("all_b").cast("double") * (F.col("all_l") - F.col("all_b")) * F.col("l")
-        name = F.when(F.col("seg") == "", "").when(thin, "*").when((F.col("l") > 0) & (gap * gap <= spread), "~").otherwise(F.col("seg"))
+        name = F.when(F.col("seg") == "", "").when(thin, "*").when(gap * gap <= spread, "~").otherwise(F.col("seg"))
         named = children.join(nodes, ["host", "node"]).select("host", "node", "seg", name.alias("name"))
         # A table each level: the plan of a level names the one before it three times.
         tree = store.saved(tree.withColumn("seg", seg(k)).join(named, ["host", "node", "seg"]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("seg", "name"))
@@ -113,7 +117,7 @@ def oracle_sql(rules: list[tuple[str, str]] = RULES) -> str:
             f"s{k} AS (SELECT *, {seg} AS seg FROM t{k})",
             f"c{k} AS (SELECT host, node, seg, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b FROM s{k} GROUP BY ALL)",
             f"n{k} AS (SELECT host, node, count(*) AS kinds, sum(n) AS an, sum(l) AS al, sum(b) AS ab FROM c{k} GROUP BY ALL)",
-            f"m{k} AS (SELECT host, node, seg, CASE WHEN seg = '' THEN '' WHEN kinds >= {MANY} AND an < {THIN} * kinds THEN '*' WHEN l > 0 AND (b::DOUBLE * al - ab::DOUBLE * l) * (b::DOUBLE * al - ab::DOUBLE * l) <= {Z2}::DOUBLE * ab::DOUBLE * (al - ab) * l THEN '~' ELSE seg END AS name FROM c{k} JOIN n{k} USING (host, node))",
+            f"m{k} AS (SELECT host, node, seg, CASE WHEN seg = '' THEN '' WHEN kinds >= {MANY} AND an < {THIN} * kinds THEN '*' WHEN (b::DOUBLE * al - ab::DOUBLE * l) * (b::DOUBLE * al - ab::DOUBLE * l) <= {Z2}::DOUBLE * ab::DOUBLE * (al - ab) * l THEN '~' ELSE seg END AS name FROM c{k} JOIN n{k} USING (host, node))",
             f"t{k + 1} AS (SELECT host, shape, n, labelled, blocked, node || '/' || name AS node FROM s{k} JOIN m{k} USING (host, node, seg))",
         ]
     parts += [

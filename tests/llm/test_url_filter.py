@@ -23,8 +23,18 @@ def test_rules_and_odd_urls(spark):
 
 
 def test_tree_rejects_by_purity_and_wildcards(spark):
-    rows = [("h", f"a/{c}", 3, 3, 3) for c in "bcd"] + [("h", "a/e", 2, 0, 0), ("g", "a/x", 9, 9, 0), ("g", "b/*", 50, 0, 0)]
+    rows = [("h", f"a/{c}", 3, 3, 3) for c in "bcd"] + [("h", "a/e", 2, 0, 0), ("o", "a/x", 9, 0, 0), ("m", "a", 40, 40, 40), ("m", "b", 60, 60, 0), ("m", "c", 5, 0, 0), ("g", "a/x", 9, 9, 0), ("g", "b/*", 50, 0, 0)]
     rows += [("k", f"thin/{i:c}x", 1, int(i % 2 == 0), int(i % 2 == 0)) for i in range(97, 121)]
     got = {tuple(r) for r in U.rejected(spark.createDataFrame(rows, "host string, shape string, n bigint, labelled bigint, blocked bigint")).collect()}
-    assert {("h", "a/b"), ("h", "a/c"), ("h", "a/d")} <= got and ("g", "a/x") not in got and ("h", "a/e") not in got
+    assert {("h", "a/b"), ("h", "a/c"), ("h", "a/d")} <= got and ("g", "a/x") not in got
+    # Without labels: like its siblings in h; on its own in o; in m its siblings differ, and it goes with none that is blocked.
+    assert ("h", "a/e") in got and ("o", "a/x") not in got and ("m", "a") in got and not {("m", "b"), ("m", "c")} & got
     assert all(("k", f"thin/{i:c}x") in got for i in range(97, 121))
+
+
+def test_the_tree_decides_on_the_pages_table_and_with_a_hot_host(spark):
+    got = U.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), U.RULES).filter("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
+    rows = [(i, f"http://hot.net/{('es', 'fr', 'en')[i % 3]}/{i}") for i in range(600)] + [(1000 + i, f"http://s{i}.org/en/{i}") for i in range(50)]
+    hot = U.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), U.RULES).collect()
+    assert all(r.verdict == ("block" if r.page_id < 1000 else "allow") for r in hot)
