@@ -3,13 +3,18 @@
 Rows have a key: the text's hash, then the document id, as hexadecimal digits.
 Candidate boundaries are key prefixes. A pass counts the exact bytes and rows
 below each of them on all partitions; only cells that still hold a splitter
-(or too many rows for one task) are probed again, three digits deeper than
-what all their keys share. When every splitter stands at a boundary, rows are
-dealt once.
+(or too many rows for one task) are probed again, by as many digits as they
+need. When every splitter stands at a boundary, rows are dealt once. A splitter
+that falls among rows of equal text moves behind them where these weigh at most
+a hundredth of a shard, so that small groups of copies stay together.
+
+The driver holds counts of cells: some hundred for each shuffle partition and
+each splitter, whatever the rows are.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +22,10 @@ from pyspark.sql import functions as F
 
 from postlane.llm import store
 
-DIGITS = 3
+#: Digits of the first boundaries at least, and of a text's hash.
+DIGITS, TEXT = 3, 32
+#: A group of equal texts stays together up to this share of a shard.
+SNAP = 100
 #: The table of cells is sent to all tasks up to this many rows (some 5 MB), beyond it is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 
@@ -36,19 +44,27 @@ def _common(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def _cells(slim: DataFrame, shards: int, max_rows: int) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, list[str]]]]:
-    """Cells (prefix, bytes, rows) in key order, none with a splitter inside unless its keys are equal; and the refinements
-    (from length, to length, prefixes) that lead to them."""
+def _digits(parts: float) -> int:
+    """Hexadecimal digits that make so many parts at least."""
+    return max(1, math.ceil(math.log(max(parts, 1), 16)))
+
+
+def _cells(slim: DataFrame, shards: int, max_rows: int, first: int) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, list[str]]]]:
+    """Cells (prefix, bytes, rows) in key order, none with a splitter inside unless its keys are equal or it is a small group of one
+    text; and the refinements (from length, to length, prefixes) that lead to them."""
     count = lambda df, cell: df.groupBy(cell.alias("cell")).agg(F.sum("size"), F.count("*"), F.min("key"), F.max("key")).collect()
-    cells = {r[0]: r[1:] for r in count(slim, F.substring("key", 1, DIGITS))}
+    cells = {r[0]: r[1:] for r in count(slim, F.substring("key", 1, first))}
     total, steps = sum(c[0] for c in cells.values()), []
     while True:
         active, below = {}, 0
         for p in sorted(cells):
             size, rows, lo, hi = cells[p]
             split = below * shards // max(total, 1) != (below + size - 1) * shards // max(total, 1)
-            if (split or rows > max_rows) and lo != hi:
-                active[p] = _common(lo, hi) + DIGITS
+            small = len(p) >= TEXT and size * shards * SNAP <= total
+            if ((split and not small) or rows > max_rows) and lo != hi:
+                same = _common(lo, hi)
+                to = same + max(2 if split else 1, _digits(rows / max_rows))
+                active[p] = min(to, TEXT) if len(p) < TEXT else to
             below += size
         if not active:
             return [(p, *cells[p][:2]) for p in sorted(cells)], steps
@@ -64,36 +80,43 @@ def _cells(slim: DataFrame, shards: int, max_rows: int) -> tuple[list[tuple[str,
 
 
 def shard_rows(rows: DataFrame, shards: int) -> DataFrame:
-    """`rows` (key string, size bigint, and any others) with `shard` and `slot`.
+    """`rows` (key string, size bigint, and any others) with `shard` and `slot`, in place of columns of these names.
 
-    A row's shard is floor(shards * bytes of all rows before it / all bytes), in key order: shards differ by one row's
-    size at most, and equal texts stay together unless a splitter falls among them. `slot` counts a shard's rows in key
-    order from 0. Rows with equal keys stay together, at neighbouring slots.
-    Sizes must be positive. An empty table gives no rows.
+    A row's shard is floor(shards * bytes of all rows before it / all bytes), in key order: shards differ by a row's
+    size and a hundredth at most. Small groups of equal texts stay together, in the shard of their first row. `slot`
+    counts a shard's rows in key order from 0. Rows with equal keys stay together, at neighbouring slots. Keys are at
+    least as long as a text's hash. Sizes must be positive. An empty table gives no rows.
     """
     spark = rows.sparkSession
     slim = store.saved(rows.select("key", "size"))
-    n = slim.count()
-    max_rows = max(1000, n // (8 * store.partitions(spark)))
-    cells, steps = _cells(slim, shards, max_rows)
+    parts = 4 * store.partitions(spark)
+    max_rows, first = max(1000, slim.count() // parts), max(DIGITS, _digits(parts))
+    cells, steps = _cells(slim, shards, max_rows, first)
     total, below, bases, table = sum(c[1] for c in cells), 0, [0] * shards, []
+    group, at = "", 0
     for p, size, count in cells:
-        shard = min(below * shards // max(total, 1), shards - 1)
+        if p[:TEXT] != group or len(p) < TEXT:
+            group, at = p[:TEXT], min(below * shards // max(total, 1), shards - 1)
+        shard = at if len(p) == TEXT else min(below * shards // max(total, 1), shards - 1)
         table.append((p, shard, bases[shard]))
         bases[shard] += count
         below += size
-    placed = spark.createDataFrame(table, "cell string, shard int, base bigint")
+    own = lambda base: next(n for n in (f"{base}{i}" for i in range(len(rows.columns) + 1)) if n not in rows.columns)
+    cell_name, base_name = own("_cell"), own("_base")
+    placed = spark.createDataFrame(table, f"{cell_name} string, shard int, {base_name} bigint")
     placed = F.broadcast(placed) if len(table) <= BROADCAST_CELLS else placed.hint("merge")
     # Later refinements start from longer prefixes, so they are tested first.
-    cell = reduce(lambda e, s: F.when(F.substring("key", 1, s[0]).isin(s[2]), F.substring("key", 1, s[1])).otherwise(e), steps, F.substring("key", 1, DIGITS))
-    dealt = rows.withColumn("cell", cell).join(placed, "cell")
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("key"))
-    return dealt.withColumn("slot", F.col("base") + place - 1).drop("cell", "base")
+    cell = reduce(lambda e, s: F.when(F.substring("key", 1, s[0]).isin(s[2]), F.substring("key", 1, s[1])).otherwise(e), steps, F.substring("key", 1, first))
+    dealt = rows.drop("shard", "slot").withColumn(cell_name, cell).join(placed, cell_name)
+    place = F.row_number().over(Window.partitionBy(cell_name).orderBy("key"))
+    return dealt.withColumn("slot", F.col(base_name) + place - 1).drop(cell_name, base_name)
 
 
 def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
-    """Documents (doc_id, text, others) with size (UTF-8 bytes, 8 more), shard and slot. Null text has 8 bytes and sorts as an empty one."""
+    """Documents (doc_id, text, others) with size (UTF-8 bytes, 8 more), shard and slot, which take the place of columns of these names.
+    Other columns stay. Null text has 8 bytes and sorts as an empty one; null ids come first among equal texts. Texts of any
+    length are hashed whole. Rows alike in id and text may change slots."""
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 8
-    clash = [c for c in ("key", "size", "cell", "shard", "base", "slot") if c in docs.columns]
-    keyed = docs.drop(*clash).withColumns({"size": size, "key": key_of(F.col("text"), F.col("doc_id").cast("bigint"))})
-    return shard_rows(keyed, shards).drop("key")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), size.alias("size"), key_of(F.col("text"), F.col("doc_id").cast("bigint")).alias("key"))
+    return shard_rows(keyed, shards).select("row.*", "size", "shard", "slot")
