@@ -42,7 +42,7 @@ def test_op4_equals_brute_force(spark):
 
 
 def test_token_files_round_trip_with_odd_rows(spark):
-    rows = [(None, "x", 1), (3, None, 2), (3, None, 2), (1, "", 3), (2, "some text " * 3000, 4)]
+    rows = [(None, "x", 1), (3, None, 2), (3, None, 2), (-(1 << 63), "", 3), (2, "some text " * 3000, 4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, start int")
     for df, n in ((docs, 5), (docs.limit(0), 0)):
         folder = store.folder(spark)
@@ -50,7 +50,7 @@ def test_token_files_round_trip_with_odd_rows(spark):
         got = token_files.read(spark, folder).orderBy("start").collect()
         assert len(got) == n
         if n:
-            assert [r.doc_id for r in got] == [None, 1, 2, 3, 3]
+            assert [r.doc_id for r in got] == [None, -(1 << 63), 2, 3, 3]
             assert [r.n_tokens for r in got][1] == 1 and got[-1].ids == [2]
             assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
 
@@ -114,3 +114,11 @@ def test_packing_does_not_depend_on_the_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a, b = (sorted(map(tuple, packing.pack(docs.repartition(n), tokenizer("byte_bpe_50k.json"), bins_per_run=20, open_bins=8).collect())) for n in (1, 5))
     assert a == b
+
+
+def test_remote_files_are_read_in_ranges(tmp_path):
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "a")
+    remote = token_files._mapped(fs.SubTreeFileSystem("/", fs.LocalFileSystem()), str(tmp_path / "a")[1:], "<u2")
+    assert remote[10:20].tolist() == list(range(10, 20)) and remote[5:5].tolist() == []
