@@ -50,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), store.mark()
     for _, stage in STAGES[:-1]:
-        docs = store.saved(stage(spark, docs, sf_dir))
+        docs = store.settled(stage(spark, docs, sf_dir), since)  # what a stage made on the way goes
     return STAGES[-1][1](spark, docs, sf_dir)
