@@ -123,7 +123,7 @@ def decode_two_level(lists: DataFrame, segments: int = 4) -> DataFrame:
 def unpack_stream(words: DataFrame, offsets: DataFrame) -> DataFrame:
     """Lists of a stream (k, word), given each list's bits (term_id, start_bit, end_bit), realigned to bit 0: (term_id, n, w, words).
 
-    A list is found from its offsets alone, so lists decode in parallel.
+    A list is found from its offsets alone, so no list waits for the one before.
     """
     spans = offsets.select("term_id", "start_bit", "end_bit", F.explode(F.sequence(B.word_index(F.col("start_bit")), B.word_index(F.col("end_bit") - 1))).alias("k"))
     raw = spans.join(words, "k").groupBy("term_id", "start_bit", "end_bit").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda e: e["word"]).alias("raw"))

@@ -133,9 +133,9 @@ def and_adp_block(postings: DataFrame, queries: DataFrame, size: int = 1024) ->
 
     def probe(rows: DataFrame) -> DataFrame:
         rows = places.saved(rows)
-        at = P.block_of(blocks, rows.select("term_id", "doc_id"))
-        met = rows.join(at, ["term_id", "doc_id"], "left").join(blocks, ["term_id", "lo"], "left")
-        return met.withColumn("hit", F.when((F.col("doc_id") <= F.col("hi")) & F.array_contains("ids", F.col("doc_id")), True))
+        met = P.block_of(blocks, rows.filter("term_id is not null")).join(blocks, ["term_id", "lo"], "left")
+        hits = met.filter((F.col("doc_id") <= F.col("hi")) & F.array_contains("ids", F.col("doc_id"))).withColumn("hit", F.lit(True))
+        return hits.select(*rows.columns, "hit").unionByName(rows.filter("term_id is null").withColumn("hit", F.lit(None).cast("boolean")))
 
     return _survive(postings, queries, probe)
 

@@ -137,11 +137,11 @@ def lower_bound(postings: DataFrame, probes: DataFrame, span: int = SPAN) -> Dat
 
 
 def block_of(blocks: DataFrame, probes: DataFrame, span: int = SPAN) -> DataFrame:
-    """Distinct probes (term_id, doc_id) with `lo`, the bound of the last block that begins at or before the id: null where none does.
+    """Rows (term_id, doc_id, others) with `lo`, the bound of the term's last block that begins at or before the id: null where none does.
 
-    Blocks (term_id, lo) and probes are merged in one ordered pass; neither is repeated, however far apart a list's ids are.
+    Blocks (term_id, lo) and rows are merged in one ordered pass; neither is repeated, however far apart a list's ids are.
     """
     starts = blocks.select("term_id", F.col("lo").alias("at"), F.lit(0).alias("order"), F.col("lo").alias("value"))
-    marks = probes.select("term_id", F.col("doc_id").alias("at"), F.lit(1).alias("order"), F.lit(None).cast("bigint").alias("value")).dropna(subset=["term_id", "at"]).distinct()
-    merged = _running(starts.unionByName(marks), F.max, span).filter("order = 1")
-    return merged.select("term_id", F.col("at").alias("doc_id"), F.coalesce("_upto", "_carried").alias("lo"))
+    marks = probes.withColumns({"at": F.col("doc_id"), "order": F.lit(1), "value": F.lit(None).cast("bigint")})
+    merged = _running(marks.unionByName(starts, allowMissingColumns=True), F.max, span).filter("order = 1")
+    return merged.select(*probes.columns, F.coalesce("_upto", "_carried").alias("lo"))
