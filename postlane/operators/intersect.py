@@ -123,21 +123,22 @@ def and_svs_nullmark(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def and_adp_block(postings: DataFrame, queries: DataFrame, size: int = 1024) -> DataFrame:
-    """Block skipping: an id looks only into the one block of `size` ids that can hold it.
+    """Block skipping: an id of the shortest list looks, in each other list, only into the one block of `size` ids that can hold it.
 
-    The block is the last one that begins at or before the id, found by one ordered pass over block bounds and ids; then
-    an equi join on (term, bound) fetches it. Lists with ids far apart cost no more than others. Blocks and the survivors of
-    each round, which a round names twice, are written to the shared folder, so plans stay short.
+    The block is the last one that begins at or before the id, found by one ordered pass over block bounds and the probes of
+    all queries and lists; then an equi join on (term, bound) fetches it. Lists with ids far apart cost no more than others,
+    and the plan is the same for any number of terms. Blocks and probes, which it names twice, are written to the shared folder.
     """
+    order = P.query_term_order(postings, queries)
+    terms = order.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_id"))), lambda e: e["term_id"]).alias("terms"))
+    first = terms.withColumn("term_id", F.get("terms", F.lit(0))).join(postings.distinct(), "term_id")
+    others = F.slice("terms", F.lit(2), F.size("terms"))
+    probes = places.saved(first.select("query_id", "doc_id", (F.size("terms") - 1).alias("need"), F.explode_outer(others).alias("term_id")))
     blocks = places.saved(P.block_directory(postings.distinct(), size).select("term_id", "lo", "hi", "ids"))
-
-    def probe(rows: DataFrame) -> DataFrame:
-        rows = places.saved(rows)
-        met = P.block_of(blocks, rows.filter("term_id is not null")).join(blocks, ["term_id", "lo"], "left")
-        hits = met.filter((F.col("doc_id") <= F.col("hi")) & F.array_contains("ids", F.col("doc_id"))).withColumn("hit", F.lit(True))
-        return hits.select(*rows.columns, "hit").unionByName(rows.filter("term_id is null").withColumn("hit", F.lit(None).cast("boolean")))
-
-    return _survive(postings, queries, probe)
+    met = P.block_of(blocks, probes.filter("need > 0")).join(blocks, ["term_id", "lo"])
+    held = met.filter((F.col("doc_id") <= F.col("hi")) & F.array_contains("ids", F.col("doc_id")))
+    counted = held.groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("hits")).filter("hits = need")
+    return counted.select("query_id", "doc_id").unionByName(probes.filter("need = 0").select("query_id", "doc_id"))
 
 
 def semi_multiset(first: DataFrame, others: list[DataFrame]) -> DataFrame:
