@@ -25,6 +25,11 @@ def and_division(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return found.join(need, "query_id").filter("hits = n_terms").select("query_id", "doc_id")
 
 
+def _marked_terms(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term_id, n_terms, marks): each distinct term with what all lists of its query have in common."""
+    return P.distinct_terms(queries).select("query_id", "term_id").join(P.query_marks(postings, queries), "query_id")
+
+
 def _survive(postings: DataFrame, queries: DataFrame, probe) -> DataFrame:
     """Shortest list first, then one round for each further rank.
 
@@ -57,13 +62,13 @@ def _sliced(postings: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     """(query_id, range, slices): for each stretch of `width` ids, what all lists of a query hold there, shortest slice first.
 
     Lists are cut once, to slices of at most `width` distinct ids; a query's slices meet by (query, range) and never leave
-    it, so the lists of one query split over tasks. Ranges that some list has nothing in end here.
+    it, so the lists of one query split over tasks. Ids that the marks of some list of the query rule out, and slices of such
+    ids alone, end before they are shuffled by query; ranges that some list has nothing in end here.
     """
     cut = P.spans(postings.distinct(), width).groupBy("term_id", F.col("span").alias("range")).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    terms = P.distinct_terms(queries).select("query_id", "term_id")
-    met = terms.join(cut, "term_id").groupBy("query_id", "range").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "term_id", "ids"))).alias("met"))
-    whole = met.join(P.active_terms(queries), "query_id").filter(F.size("met") == F.col("n_terms"))
-    return whole.select("query_id", "range", F.transform("met", lambda e: e["ids"]).alias("slices"))
+    met = _marked_terms(postings, queries).join(cut, "term_id").withColumn("ids", F.filter("ids", lambda x: P.marked(x, F.col("marks")))).filter(F.size("ids") > 0)
+    met = met.groupBy("query_id", "range", "n_terms").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "term_id", "ids"))).alias("met"))
+    return met.filter(F.size("met") == F.col("n_terms")).select("query_id", "range", F.transform("met", lambda e: e["ids"]).alias("slices"))
 
 
 def _others() -> F.Column:

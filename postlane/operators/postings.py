@@ -68,6 +68,37 @@ def query_term_order(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return lens.select("query_id", "term_id", "len", rank.alias("rank"))
 
 
+#: 64-bit words of a list's marks.
+MARK_WORDS = 4
+
+
+def _mark(doc: Column) -> tuple[Column, Column]:
+    """The word and the bit that stand for an id in a list's marks."""
+    h = F.xxhash64(doc)
+    return F.pmod(h, F.lit(MARK_WORDS)).cast("int"), F.shiftright(h, 8).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+
+
+def marked(doc: Column, marks: Column) -> Column:
+    """Whether `marks` may hold an id: false only where no list could have it that they were made of."""
+    word, bit = _mark(doc)
+    return F.call_function("shiftright", F.get(marks, word), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def query_marks(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, n_terms, marks): the marks that all lists of a query have in common, as bit sets of hashed ids.
+
+    An id that all lists hold is marked in each, so ids without a mark can go before anything is shuffled by query. That loses
+    nothing, for lists of any length; of long lists all bits are set, and nothing goes. A query with an unknown term has no marks.
+    """
+    word, bit = _mark(F.col("doc_id"))
+    words = [f"_m{i}" for i in range(MARK_WORDS)]
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    lists = postings.groupBy("term_id").agg(*[F.bit_or(F.when(word == i, one).otherwise(F.lit(0).cast("bigint"))).alias(w) for i, w in enumerate(words)])
+    terms = distinct_terms(queries).select("query_id", "term_id").join(lists, "term_id", "left")
+    common = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"), *[F.bit_and(F.coalesce(w, F.lit(0).cast("bigint"))).alias(w) for w in words])
+    return common.select("query_id", "n_terms", F.array(*words).alias("marks"))
+
+
 def active_terms(queries: DataFrame) -> DataFrame:
     """(query_id, n_terms) over distinct terms."""
     return queries.groupBy("query_id").agg(F.count_distinct("term_id").alias("n_terms"))

@@ -57,6 +57,27 @@ def test_plans_of_the_strategies_differ(spark):
     assert "doc_id" not in "".join(line for line in I.and_svs_range(posts, queries)._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(query_id" in line)
 
 
+def shuffled(spark, df) -> tuple[int, int]:
+    """(rows written to shuffles, rows of the result) of a query."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before, n = written(), len(df.collect())
+    return written() - before, n
+
+
+@pytest.mark.parametrize("name", ["svs_range", "adp_range", "hash_dealt"])
+def test_ids_that_another_list_rules_out_are_not_shuffled_by_query(spark, name):
+    lists = {t: range(t, 40_000 + t, 1000) for t in range(100)}  # 40 ids each, in 10 ranges of 4096, all apart
+    queries = {q: [q % 100, (q + 1) % 100, (q + 2) % 100] for q in range(2000)}
+    rows, n = shuffled(spark, I.STRATEGIES[name](make(spark, lists), ask(spark, queries)))
+    assert n == 0 and rows < 40_000  # 6000 terms of queries; they would meet 240,000 ids
+
+
 def test_spans_of_long_lists(spark):
     lists = {1: [0, 3, 4, 9, 10, 11, 30, 31], 2: [7], 3: [2**32 - 1]}
     got = {(r.term_id, r.doc_id): (r.pos, r.before) for r in P.positions(make(spark, lists), span=5).collect()}
