@@ -34,9 +34,9 @@ def _on_both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable:
 
 
 def _on_compressed(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Only the queried lists are decoded, then intersected."""
+    """Only the queried lists are decoded, once, then intersected."""
     lists = C.compress(postings).join(queries.select("term_id").distinct(), "term_id", "left_semi")
-    return I.and_division(C.decode(lists), queries)
+    return I.and_division(places.saved(C.decode(lists)), queries, sift=True)
 
 
 def _stream_words(postings: DataFrame) -> DataFrame:

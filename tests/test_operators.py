@@ -78,6 +78,14 @@ def test_ids_that_another_list_rules_out_are_not_shuffled_by_query(spark, name):
     assert n == 0 and rows < 40_000  # 6000 terms of queries; they would meet 240,000 ids
 
 
+def test_marks_keep_what_all_lists_hold(spark):
+    posts, queries = make(spark, LISTS), ask(spark, QUERIES)
+    marks = P.query_marks(posts, queries)
+    kept = marks.join(posts.select("doc_id").distinct(), P.marked(posts["doc_id"], marks["marks"])).select("query_id", "doc_id").collect()
+    assert {tuple(r) for r in kept} >= brute(LISTS, QUERIES) and not [r for r in kept if r.query_id == 5]
+    assert {tuple(r) for r in I.and_division(posts, queries, sift=True).collect()} == brute(LISTS, QUERIES)
+
+
 def test_spans_of_long_lists(spark):
     lists = {1: [0, 3, 4, 9, 10, 11, 30, 31], 2: [7], 3: [2**32 - 1]}
     got = {(r.term_id, r.doc_id): (r.pos, r.before) for r in P.positions(make(spark, lists), span=5).collect()}
