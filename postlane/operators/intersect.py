@@ -137,11 +137,13 @@ def and_adp_block(postings: DataFrame, queries: DataFrame, size: int = 1024) ->
 
     The block is the last one that begins at or before the id, found by one ordered pass over block bounds and the probes of
     all queries and lists; then an equi join on (term, bound) fetches it. Lists with ids far apart cost no more than others,
-    and the plan is the same for any number of terms. Blocks and probes, which it names twice, are written to the shared folder.
+    and the plan is the same for any number of terms. Ids that the marks of another list rule out are not probed. Blocks and
+    probes, which it names twice, are written to the shared folder.
     """
     order = P.query_term_order(postings, queries)
     terms = order.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term_id"))), lambda e: e["term_id"]).alias("terms"))
-    first = terms.withColumn("term_id", F.get("terms", F.lit(0))).join(postings.distinct(), "term_id")
+    first = terms.withColumn("term_id", F.get("terms", F.lit(0))).join(P.query_marks(postings, queries), "query_id").join(postings.distinct(), "term_id")
+    first = first.filter(P.marked(F.col("doc_id"), F.col("marks")))
     others = F.slice("terms", F.lit(2), F.size("terms"))
     probes = places.saved(first.select("query_id", "doc_id", (F.size("terms") - 1).alias("need"), F.explode_outer(others).alias("term_id")))
     blocks = places.saved(P.block_directory(postings.distinct(), size).select("term_id", "lo", "hi", "ids"))

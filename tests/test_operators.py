@@ -70,7 +70,7 @@ def shuffled(spark, df) -> tuple[int, int]:
     return written() - before, n
 
 
-@pytest.mark.parametrize("name", ["svs_range", "adp_range", "hash_dealt"])
+@pytest.mark.parametrize("name", ["svs_range", "adp_range", "hash_dealt", "adp_block"])
 def test_ids_that_another_list_rules_out_are_not_shuffled_by_query(spark, name):
     lists = {t: range(t, 40_000 + t, 1000) for t in range(100)}  # 40 ids each, in 10 ranges of 4096, all apart
     queries = {q: [q % 100, (q + 1) % 100, (q + 2) % 100] for q in range(2000)}
