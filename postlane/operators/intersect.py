@@ -161,13 +161,23 @@ def semi_multiset(first: DataFrame, others: list[DataFrame]) -> DataFrame:
 
 
 def pair_counts(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(term_a, term_b, n): size of the intersection for every two terms that stand in one query; 0 when disjoint."""
+    """(term_a, term_b, n): size of the intersection for every two terms that stand in one query; 0 when disjoint.
+
+    Each document goes the cheaper way: it makes all pairs of its queried terms, or, where these are more than the queried
+    pairs that begin with its terms, its postings are joined by the first term of these and looked up by the second.
+    """
     terms = P.distinct_terms(queries).select("query_id", "term_id")
     pairs = terms.withColumnRenamed("term_id", "term_a").join(terms.withColumnRenamed("term_id", "term_b"), "query_id").filter("term_a < term_b").select("term_a", "term_b").distinct()
-    lists = postings.distinct()
-    first = pairs.join(lists.select(F.col("term_id").alias("term_a"), "doc_id"), "term_a")
-    both = first.join(lists.select(F.col("term_id").alias("term_b"), "doc_id"), ["term_b", "doc_id"], "left_semi")
-    counts = both.groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
+    # How many pairs a term begins; a term that only ends pairs begins none.
+    begun = pairs.select(F.explode(F.array(F.struct(F.col("term_a").alias("term_id"), F.lit(1).alias("one")), F.struct(F.col("term_b").alias("term_id"), F.lit(0).alias("one")))).alias("e"))
+    begun = begun.groupBy(F.col("e.term_id").alias("term_id")).agg(F.sum("e.one").alias("begun"))
+    lists = postings.distinct().join(begun, "term_id")
+    costs = lists.groupBy("doc_id").agg(F.count("*").alias("held"), F.sum("begun").alias("cost")).select("doc_id", (F.col("held") * (F.col("held") - 1) <= 2 * F.col("cost")).alias("own"))
+    dealt = lists.select("term_id", "doc_id").join(costs, "doc_id")
+    side = lambda own, name: dealt.filter(F.col("own") == own).select(F.col("term_id").alias(name), "doc_id")
+    within = side(True, "term_a").join(side(True, "term_b"), "doc_id").filter("term_a < term_b").groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
+    probed = pairs.join(side(False, "term_a"), "term_a").join(side(False, "term_b"), ["term_b", "doc_id"], "left_semi").groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
+    counts = within.unionByName(probed).groupBy("term_a", "term_b").agg(F.sum("n").alias("n"))
     return pairs.join(counts, ["term_a", "term_b"], "left").fillna({"n": 0})
 
 

@@ -78,6 +78,20 @@ def test_ids_that_another_list_rules_out_are_not_shuffled_by_query(spark, name):
     assert n == 0 and rows < 40_000  # 6000 terms of queries; they would meet 240,000 ids
 
 
+def test_pairs_of_short_documents_do_not_join_whole_lists(spark):
+    lists = {t: range(t, 40_000 + t, 100) for t in range(100)}
+    queries = {q: [q % 100, (q + 1) % 100, (q + 2) % 100] for q in range(100)}
+    rows, n = shuffled(spark, I.pair_counts(make(spark, lists), ask(spark, queries)))
+    assert n == 200 and rows < 150_000  # 40,000 postings; the pairs would meet 80,000 more
+
+
+def test_pairs_of_short_and_long_documents(spark):
+    lists = {t: [0, *range(t, 60, t + 2), 100 + t] for t in range(40)}  # document 0 holds all terms, and few pairs are asked for
+    queries = {0: [1, 2, 3], 1: [2, 3, 39], 2: [5, 77], 3: [8, 8, 9], 4: [6]}
+    want = {(a, b): len(set(lists.get(a, ())) & set(lists.get(b, ()))) for q in queries.values() for a in q for b in q if a < b}
+    assert {(r.term_a, r.term_b): r.n for r in I.pair_counts(make(spark, lists), ask(spark, queries)).collect()} == want
+
+
 def test_marks_keep_what_all_lists_hold(spark):
     posts, queries = make(spark, LISTS), ask(spark, QUERIES)
     marks = P.query_marks(posts, queries)
