@@ -291,6 +291,26 @@ def _tries(ends: list[int], all_of: int = 32) -> list[int]:
     return out + ends[::-1]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: numpy's own `unique` hashes, at several times the cost for such lengths."""
+    s = np.sort(x)
+    keep = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two arrays of distinct values share."""
+    s = np.sort(np.concatenate([a, b]))
+    return int(np.count_nonzero(s[1:] == s[:-1]))
+
+
+def _middle(x: np.ndarray) -> int:
+    """The median, towards 0."""
+    s, half = np.sort(x), len(x) // 2
+    return int(s[half]) if len(x) % 2 else int((int(s[half - 1]) + int(s[half])) / 2)
+
+
 def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """(x from, x to, hub from, hub to, similarity) of the passages in two stretches of shingles, inclusive."""
     order = np.argsort(hub, kind="stable")
@@ -305,27 +325,27 @@ def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple
     def scored(run: np.ndarray) -> tuple[float, int, int]:
         """(similarity, hub from, hub to) of the stretch from the run's begin to its end."""
         lo, hi = int(run[0]), int(run[-1])
-        own = np.unique(x[lo : hi + 1])
+        own = _distinct(x[lo : hi + 1])
         # Where the hub has it: along the diagonal of shingles that occur once there, of either end, or of the middle; or all of it.
         shift = there[run] - run
         once = shift[lone[there[run]]]
-        shifts = {int(np.median(once if len(once) else shift)), int(shift[0]), int(shift[-1])}
-        near = there[run][np.abs(shift - int(np.median(once if len(once) else shift))) <= DRIFT]
+        middle = _middle(once if len(once) else shift)
+        near = there[run][np.abs(shift - middle) <= DRIFT]
         best = (0.0, 0, 0)
-        for a, b in [(lo + k, hi + k) for k in sorted(shifts)] + ([(int(near.min()), int(near.max()))] if len(near) else []) + [(0, len(hub) - 1)]:
-            a, b = max(a, 0), min(b, len(hub) - 1)
-            if a <= b:
-                theirs = np.unique(hub[a : b + 1])
-                both = len(own) + len(theirs) - len(np.union1d(own, theirs))
+        places = [(lo + k, hi + k) for k in sorted({middle, int(shift[0]), int(shift[-1])})] + ([(int(near.min()), int(near.max()))] if len(near) else []) + [(0, len(hub) - 1)]
+        for a, b in dict.fromkeys((max(a, 0), min(b, len(hub) - 1)) for a, b in places):
+            if a <= b and min(len(own), b - a + 1) >= best[0] * len(own) - 1e-6:  # else it holds too few to be as good
+                theirs = _distinct(hub[a : b + 1])
+                both = _common(own, theirs)
                 best = max(best, (both / (len(own) + len(theirs) - both), a, b))
         return best
 
     pieces = [r for r in np.split(hit, np.flatnonzero(np.diff(hit) > GAP) + 1) if len(r)]
-    known = len(np.unique(x[hit]))
+    known = len(_distinct(x[hit]))
 
     def parted(p: np.ndarray, q: np.ndarray) -> bool:
         """Whether no passage can go on from p to q: too much is missing between them, or they are on far diagonals for certain."""
-        if 100 * known < percent * (known + len(np.unique(x[p[-1] + 1 : q[0]]))):
+        if 100 * known < percent * (known + len(_distinct(x[p[-1] + 1 : q[0]]))):
             return True
         sure = lone[there[p]].all() and lone[there[q]].all()
         return bool(sure and abs(int(there[q[0]] - q[0]) - int(there[p[-1]] - p[-1])) > DRIFT)
@@ -347,9 +367,8 @@ def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple
         may = (100 - percent) * have >= percent * (missing[stop[i + 1 : end]] - missing[begin[i]])
         for j in _tries((np.flatnonzero(may & (stop[i + 1 : end] - begin[i] >= t)) + i + 1).tolist()):
             lo, hi = int(pieces[i][0]), int(pieces[j][-1])
-            own = np.unique(x[lo : hi + 1])
             joined = np.concatenate(pieces[i : j + 1])
-            if 100 * len(np.unique(x[joined])) < percent * len(own):
+            if 100 * len(_distinct(x[joined])) < percent * len(_distinct(x[lo : hi + 1])):
                 continue
             if 100 * (best := scored(joined))[0] >= percent:
                 out.append((lo, hi, best[1], best[2], best[0]))
