@@ -17,11 +17,11 @@ two most similar ones, the pairs are confirmed on full shingle sets, and
 components found; then each member is paired with every other component of a
 run in which signatures, five times as long now, allow the similarity: with its
 8 members that agree in most. So copies of one another never make all their
-pairs. Two documents at 0.8 share no region with probability below 1e-7; in
-regions above `region` members they must also be near in one of 32 orders, or
-meet through a representative. A link between two components would be lost only
-if 8 members that are below the similarity looked better to both its ends, by
-640 components of a deviation of 0.016.
+pairs. Where more than 8 allow the similarity, and the components are still
+apart then, the member is held against the full set of every member of that
+component, without a pair made. Two documents at 0.8 share no region with
+probability below 1e-7; in regions above `region` members they must also be
+near in one of 32 orders, or meet through a representative.
 
 Null and empty texts have an empty set and are linked with nothing. Null ids
 are never smaller than others: such a row's component is its class's, or null.
@@ -48,8 +48,10 @@ SIGNATURE, TREES, DEPTH, DEEPEST = 128, 32, 4, 24
 STEP = SIGNATURE // TREES
 #: Components that are added for documents between whose components links are still open.
 FINER = 512
-#: Of one other component, how many members are confirmed for a member at most, by how many components agree.
+#: Of one other component, how many members are confirmed for a member by pairs, by how many components agree; the rest by `against_all`.
 PARTNERS = 8
+#: Members of a component that one task holds the full sets of.
+CHUNK = 512
 #: Members of a region too large for one task that all its parts hold.
 HEADS = 8
 BROADCAST_IDS = 500_000
@@ -166,12 +168,13 @@ def runs(members: int, region: int) -> Iterator[np.ndarray]:
         first.append(lo)
 
 
-def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
+def candidates(members: DataFrame, best: int | None, region: int, partners: int = PARTNERS) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of (tree, prefix, id, label, n, signature, with or without finer) whose labels differ and whose signatures and sizes allow
-    the similarity: each member's `best` most similar ones in a run, or its PARTNERS most similar ones of each other component."""
+    the similarity: each member's `best` most similar ones in a run, or its `partners` most similar ones of each other component; and (x, other) of
+    the members and components between which there are more of the latter."""
 
-    def pairs(label: np.ndarray, n: np.ndarray, sig: np.ndarray, sig2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out_a, out_b, out_score = [], [], []
+    def pairs(label: np.ndarray, n: np.ndarray, sig: np.ndarray, sig2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        out_a, out_b, out_score, out_more = [], [], [], []
         some = np.arange(len(n))
         if best is None:  # the largest component is met by all others, and need not look for them
             names, at = np.unique(label, return_inverse=True)
@@ -181,6 +184,7 @@ def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
             near = (sig[mine, None, :] == sig[None, :, :]).sum(2, dtype=np.int16)
             sizes = n[mine, None]
             near[(near < allowed(SIGNATURE)) | (label[mine, None] == label[None, :]) | (5 * np.minimum(sizes, n[None, :]) < 4 * np.maximum(sizes, n[None, :]))] = 0
+            more = None
             if best is None:
                 a, b = np.nonzero(near)
                 if sig2 is not None:
@@ -189,7 +193,10 @@ def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
                     order = keep[np.lexsort((b[keep], -both[keep], at[b[keep]], a[keep]))]
                     new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (at[b[order]][1:] != at[b[order]][:-1])])[: len(order)]
                     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                    keep = order[rank < PARTNERS]
+                    # A pair says whether its member has more in that component than are kept.
+                    group = np.cumsum(new) - 1
+                    more = (np.bincount(group, minlength=1)[group] > partners)[rank < partners]
+                    keep = order[rank < partners]
                     a, b, score = a[keep], b[keep], both[keep]
                 else:
                     score = near[a, b]
@@ -201,8 +208,9 @@ def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
             out_a.append(mine[a])
             out_b.append(b)
             out_score.append(score)
+            out_more.append(np.zeros(len(a), np.int64) if more is None else more)
         none = np.empty(0, np.int64)
-        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b]), np.concatenate([none, *out_score])
+        return np.concatenate([none, *out_a]), np.concatenate([none, *out_b]), np.concatenate([none, *out_score]), np.concatenate([none, *out_more])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(table: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -214,13 +222,13 @@ def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
             found = []
             for run in runs(len(ids), region):
                 if (label[run] != label[run[0]]).any():
-                    a, b, score = pairs(label[run], n[run], sig[run], None if sig2 is None else sig2[run])
-                    found.append((run[a], run[b], score))
+                    a, b, score, more = pairs(label[run], n[run], sig[run], None if sig2 is None else sig2[run])
+                    found.append((run[a], run[b], score, more))
             if not found:
                 return None
-            a, b, score = (np.concatenate(x) for x in zip(*found))
-            each = np.unique(np.stack([ids[a], ids[b], label[b], score.astype(np.int64)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in each], names=["x", "y", "other", "score"])
+            a, b, score, more = (np.concatenate(x) for x in zip(*found))
+            each = np.unique(np.stack([ids[a], ids[b], label[b], score.astype(np.int64), more]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in each], names=["x", "y", "other", "score", "more"])
 
         held: pa.Table | None = None  # the region that a batch's end may have cut
         for batch in batches:
@@ -238,11 +246,13 @@ def candidates(members: DataFrame, best: int | None, region: int) -> DataFrame:
 
     order = F.substring(F.concat("signature", "signature"), (F.col("tree") * 2 * STEP + 1).cast("int"), F.lit(2 * SIGNATURE))
     dealt = members.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", order, "id")
-    found = dealt.mapInArrow(task, "x bigint, y bigint, other bigint, score bigint").distinct()
+    found = dealt.mapInArrow(task, "x bigint, y bigint, other bigint, score bigint, more bigint").groupBy("x", "y", "other", "score").agg(F.max("more").alias("more"))
     if best is None:
         rank = F.row_number().over(Window.partitionBy("x", "other").orderBy(F.desc("score"), "y"))
-        found = found.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = store.saved(found.withColumn("rank", rank).filter(F.col("rank") <= partners + 1))
+    rest = found.filter((F.col("rank") > partners) | (F.col("more") > 0)).select("x", "other").distinct() if best is None else found.limit(0).select("x", "other")
+    found = found.filter(F.col("rank") <= partners) if best is None else found
+    return store.saved(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), rest
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -264,7 +274,50 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return store.saved(with_both.select("a", "b", "x", "y").mapInArrow(task, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, region: int = 1024, piece: int = 20_000) -> DataFrame:
+def against_all(open_: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) of each (x, other) of `open_` to a member of the component `other`, by full sets of all `members` (id, label): one for each
+    chunk of a component at most, none where it has none. A component's sets lie in inverted order, in chunks, and members are counted there."""
+    sizes = members.join(open_.select(F.col("other").alias("label")).distinct(), "label", "left_semi").groupBy("label").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    sizes = store.saved(sizes)
+    held = members.join(sizes, "label").select(F.col("label").alias("other"), F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(0).alias("kind"), "id")
+    asked = open_.join(sizes, open_["other"] == sizes["label"]).select("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), F.col("x").alias("id"))
+    rows = store.saved(held.unionByName(asked))
+    sets = shingle_sets(docs, store.saved(rows.select("id").distinct()), k)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, own = None, [], []  # of the chunk at hand
+        index: tuple | None = None
+        for batch in batches:
+            out_a, out_b = [], []
+            for key, kind, i, raw in zip(zip(batch.column("other").to_pylist(), batch.column("chunk").to_pylist()), batch.column("kind").to_pylist(), batch.column("id").to_pylist(), batch.column("set")):
+                if key != now:
+                    now, ids, own, index = key, [], [], None
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                if kind == 0:
+                    ids.append(i)
+                    own.append(s)
+                    continue
+                if index is None:
+                    sizes = np.array([len(o) for o in own], np.int64)
+                    flat = np.concatenate([np.empty(0, np.uint64), *own])
+                    order = np.argsort(flat, kind="stable")
+                    index, own = (flat[order], np.repeat(np.arange(len(ids)), sizes)[order], sizes), []
+                flat, owner, sizes = index
+                lo = np.searchsorted(flat, s)
+                n = np.searchsorted(flat, s, "right") - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(ids))
+                linked = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+                if len(linked):
+                    out_a.append(min(i, ids[linked[0]]))
+                    out_b.append(max(i, ids[linked[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.join(sets, "id").repartition("other", "chunk").sortWithinPartitions("other", "chunk", "kind", "id")
+    return store.saved(dealt.select("other", "chunk", "kind", "id", "set").mapInArrow(task, "a bigint, b bigint"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, region: int = 1024, piece: int = 20_000, partners: int = PARTNERS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text)."""
     docs = store.lean(docs)
     signed = store.saved(signatures(docs, k))
@@ -272,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, region: int
     named = classes.filter("id is not null")
     spots = regions(named, piece)
     whole = spots.join(named.select("id", "n", "signature"), "id").withColumn("label", F.col("id"))
-    first = confirmed(store.saved(candidates(whole, 2, region)), docs, k, percent)
+    first = confirmed(candidates(whole, 2, region)[0], docs, k, percent)
     labels = components(first)
     relabelled = whole.drop("label").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     # Only regions where components still meet are compared again.
@@ -280,8 +333,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, region: int
     mixed = mixed.groupBy("tree", "prefix").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("tree", "prefix")
     open_ = store.saved(relabelled.join(mixed, ["tree", "prefix"], "left_semi"))
     finer = finer_signatures(docs, store.saved(open_.select("id").distinct()), k)
-    second = confirmed(store.saved(candidates(open_.join(finer, "id"), None, region)), docs, k, percent)
-    labels = components(second, labels)
+    pairs, rest = candidates(open_.join(finer, "id"), None, region, partners)
+    before, labels = labels, components(confirmed(pairs, docs, k, percent), labels)
+    now = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    apart = rest.join(now("x"), "x", "left").join(now("other"), "other", "left").filter(F.coalesce("x_label", "x") != F.coalesce("other_label", "other"))
+    apart = store.saved(apart.select("x", "other"))
+    if apart.limit(1).count():
+        members = named.select("id").join(before.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        labels = components(against_all(apart, members, docs, k, percent), labels)
     class_label = classes.join(labels, classes["id"] == labels["node"], "left").select("set_hash", F.coalesce("label", "id").alias("component"))
     out = signed.join(class_label, "set_hash", "left").withColumn("component_id", F.coalesce("component", F.when(F.col("n_shingles") == 0, F.col("doc_id"))))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -66,6 +66,33 @@ def test_large_groups_are_one_component(spark, region, piece):
     assert {k: len(v) for k, v in got.items()} == {0: 1100, 5000: 1500}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_link_behind_many_pairs_just_below_it(spark, seed):
+    # One document at 0.8004 of a component, and 90 others of it at 0.7988, which look as good by any signature.
+    rng = random.Random(seed)
+    body = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    tail = lambda name, n: " ".join([*body, *(f"{name}-{seed}-{j}" for j in range(n))])
+    docs = [(i, tail(f"y{i}", 45)) for i in range(90)] + [(90, tail("z", 44)), (500, tail("x", 55))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    want = brute(docs, 4, 80)
+    assert want[500][1] == 0 and got == want
+
+
+def test_against_all_counts_full_sets_in_chunks(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(words[j] if rng.random() > 0.04 else f"e{rng.randrange(99)}" for j in range(60)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    members = spark.createDataFrame([(i, 10 + i // 30) for i in range(20, 60)], "id bigint, label bigint")
+    asked = [(x, other) for x in range(20) for other in (10, 11)]
+    near = lambda a, b: 100 * len(sets(texts[a], 4) & sets(texts[b], 4)) >= 80 * len(sets(texts[a], 4) | sets(texts[b], 4))
+    label = {i: 10 + i // 30 for i in range(20, 60)}
+    for chunk in (4, 512):
+        got = near_dedup.against_all(spark.createDataFrame(asked, "x bigint, other bigint"), members, docs, 4, 80, chunk).collect()
+        assert all(near(r.a, r.b) for r in got)
+        assert {(r.a, label[r.b]) for r in got} == {(x, label[y]) for x in range(20) for y in label if near(x, y)}
+
+
 def test_runs_cover_all_places_and_hold_representatives():
     for members, region in ((1, 4), (4, 4), (5, 4), (23, 4), (100, 7)):
         got = [r.tolist() for r in near_dedup.runs(members, region)]
