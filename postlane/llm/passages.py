@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from postlane.llm import store, text, tokens
 
 HASHES, ENOUGH, SHINGLE = 6, 2, 5
+#: Values with so many classes of windows at most make all pairs of these.
+FEW = 4
 #: Diagonals this close belong to one alignment; runs of shared shingles part at gaps beyond this, and are joined by their similarity.
 DRIFT, GAP = 32, 6
 BROADCAST_IDS = 500_000
@@ -96,56 +98,21 @@ def _unpacked(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-_WINDOW = ("<u8", "<i8", "<u4", "<u4", "<u4")
-_PAIR = ("<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "u1")
+#: value, context, document, centre, places before and after it.
+_WINDOW = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4")
+_MEMBER = ("<i8", "<u4", "<u4", "<u4")
 
 
-def _meet(value, doc, at, left, right, shares=None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of windows, the places of those that must meet windows from elsewhere: the hubs, and others that by `shares(x, y)` have no
-    passage around the centre in common with what they met; and the pairs of all but hubs with their hub, in the columns of _PAIR.
-
-    A hub that repeats itself is met at its first and at its last window of the value, as its ends bound either. Others also
-    meet the document before them in the group, which may share an edit with them that the hub has not.
-    """
-    order = np.lexsort((at, doc, value))
-    if not len(order):
-        return order, [c[:0] for c in (doc, doc, at, at, at, at, at.astype("u1"))]
-    v, d = value[order], doc[order]
-    new = np.concatenate([[True], v[1:] != v[:-1]])
-    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-    other_doc = new | np.concatenate([[True], d[1:] != d[:-1]])
-    of_hub = d == d[begin[group]]
-    last = begin + np.add.reduceat(of_hub.astype(np.int64), begin) - 1
-    before_doc = np.flatnonzero(other_doc)[np.cumsum(other_doc) - 1] - 1
-    none = np.full(len(order), -1)
-    partners = (begin[group], np.where(last > begin, last, -1)[group], np.where((before_doc > last[group]), before_doc, none))
-    pairs, shared = [], np.zeros(len(order), bool)
-    for partner in partners:
-        mine = ~of_hub & (partner >= 0)
-        x, y = order[mine], order[partner[mine]]
-        before, after = np.minimum(at[x] - left[x], at[y] - left[y]), np.minimum(right[x] - at[x], right[y] - at[y])
-        if shares is not None:
-            shared[mine] |= shares(x, y)
-        pairs.append([doc[x], doc[y], at[x], at[y], before, after, (value[x] & np.uint64(7)).astype("u1")])
-    return order[np.union1d(np.union1d(begin, last), np.flatnonzero(~of_hub & ~shared))], [np.concatenate(c) for c in zip(*pairs)]
-
-
-def _same_around(s: np.ndarray, x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
-    """Whether the sequence is the same in a run of t or more around places x and y."""
-    out = np.zeros(len(x), bool)
-    steps = np.arange(t)
-    for lo in range(0, len(x), 8192):
-        a, b = x[lo : lo + 8192, None], y[lo : lo + 8192, None]
-        reach = 0
-        for side in (steps, -steps):
-            same = s.take(a + side, mode="clip") == s.take(b + side, mode="clip")
-            reach = reach + np.where(same.all(1), t, same.argmin(1))
-        out[lo : lo + 8192] = reach - 1 >= t
-    return out
+def _contexts(seq: np.ndarray, centre: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of the stretch around each centre, and of the centre's place in it."""
+    power, back = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(seq), f, np.uint64))]) for f in (text.GOLD, np.uint64(pow(int(text.GOLD), -1, 1 << 64))))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.mix(seq.astype(np.uint64)) * power[:-1])])
+    lo, hi = centre - before, centre + after + 1
+    return text.mix((sums[hi] - sums[lo]) * back[lo] + text.mix((before.astype(np.uint64) << np.uint64(32)) + after.astype(np.uint64)))
 
 
 def _windows(docs: DataFrame, t: int, buckets: int) -> DataFrame:
-    """(bucket, windows, pairs): the hubs of each batch of texts by value, and the batch's own pairs, packed."""
+    """(bucket, windows): all windows of each batch of texts, packed, in buckets by value."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
@@ -159,60 +126,275 @@ def _windows(docs: DataFrame, t: int, buckets: int) -> DataFrame:
                 flat, sizes = np.concatenate([s for _, s in seqs]), np.array([len(s) for _, s in seqs])
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 ids, owner = np.array([d for d, _ in seqs], "<i8"), np.repeat(np.arange(len(seqs)), sizes)
-                # With a value of its own after each text, no comparison runs on into the next one.
-                ended = np.insert(flat, first[1:], text.mix(np.arange(1, len(seqs) + 1, dtype=np.uint64)))
-                parts, places = [], []
+                parts = []
                 for j in range(HASHES):
                     h = flat * FACTORS[j]
                     c, left, right = compact_windows(h, first, t)
-                    base = first[owner[c]]
-                    places.append(c + owner[c])
-                    parts.append(((h[c] & ~np.uint64(7)) | np.uint64(j), ids[owner[c]], *((x - base).astype("<u4") for x in (c, left, right))))
-                columns = [np.concatenate(p) for p in zip(*parts)]
-                where = np.concatenate(places)
-                hubs, pairs = _meet(*columns, lambda x, y: _same_around(ended, where[x], where[y], t))
-                windows = [c[hubs] for c in columns]
-                for_windows, for_pairs = (text.mix(windows[0]) % np.uint64(buckets)).astype(np.int64), pairs[0] % buckets
-                out = []
-                for side, bucket in ((windows, for_windows), (pairs, for_pairs)):
-                    order = np.argsort(bucket, kind="stable")
-                    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    out.append([_packed(*(c[order[a:b]] for c in side)) if b > a else None for a, b in zip(edges[:-1], edges[1:])])
-                keep = [b for b in range(buckets) if out[0][b] or out[1][b]]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keep, pa.int64()), "windows": pa.array([out[0][b] for b in keep], pa.binary()), "pairs": pa.array([out[1][b] for b in keep], pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, "bucket bigint, windows binary, pairs binary")
-
-
-def _pairs(windows: DataFrame) -> DataFrame:
-    """All pairs (x, hub, ...): those that batches found, and those of the batches' hubs."""
+                    parts.append(((h[c] & ~np.uint64(7)) | np.uint64(j), c, c - left, right - c))
+                value, c, before, after = (np.concatenate(p) for p in zip(*parts))
+                context = _contexts(flat >> np.uint64(32), c, np.minimum(before, t - 1), np.minimum(after, t - 1))
+                bucket = (text.mix(value) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((c, bucket))
+                columns = [x[order] for x in (value, context, ids[owner[c]], (c - first[owner[c]]).astype("<u4"), before.astype("<u4"), after.astype("<u4"))]
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                keep = [b for b in range(buckets) if edges[b + 1] > edges[b]]
+                packed = [_packed(*(x[edges[b] : edges[b + 1]] for x in columns)) for b in keep]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keep, pa.int64()), "windows": pa.array(packed, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, "bucket bigint, windows binary")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PAIRS.split(", ")]
 
-        def rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(columns[0]), 50_000):
-                part = [c[lo : lo + 50_000] for c in columns]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in part[:2]), *(pa.array(c.astype(np.int32)) for c in part[2:])], names=names)
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-        def met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if blobs:
-                columns = [np.concatenate(c) for c in zip(*(_unpacked(b, _WINDOW) for b in blobs))]
-                yield from rows(_meet(*columns)[1])
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: numpy's own `unique` hashes, at several times the cost for such lengths."""
+    s = np.sort(x)
+    return s[_starts(s)]
+
+
+def _classes(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows, those whose value another document holds too, by value, class (equal contexts), document and place; each one's
+    class; and for each class, by value and its first window (its representative): that window, its rank, how many its value has."""
+    order = np.argsort(columns[0], kind="stable")
+    for check in (0, 2):  # values that occur once, then those of one document
+        v = columns[0][order]
+        begin = _starts(v)
+        if not len(begin):
+            break
+        sizes = np.diff(np.append(begin, len(v)))
+        d = columns[2][order]
+        many = sizes > 1 if check == 0 else np.minimum.reduceat(d, begin) < np.maximum.reduceat(d, begin)
+        order = order[np.repeat(many, sizes)]
+    value, context, doc, at = (c[order] for c in columns[:4])
+    order = order[np.lexsort((at, doc, context, value))]
+    columns = [c[order] for c in columns]
+    value, context, doc, at = columns[:4]
+    heads = _starts(value, context)
+    sizes = np.diff(np.append(heads, len(value)))
+    by_first = np.lexsort((at[heads], doc[heads], value[heads]))
+    place = np.empty(len(heads), np.int64)
+    place[by_first] = np.arange(len(heads))
+    heads = heads[by_first]
+    begin = _starts(value[heads])
+    counts = np.diff(np.append(begin, len(heads)))
+    return columns, np.repeat(place, sizes), heads, np.arange(len(heads)) - np.repeat(begin, counts), np.repeat(counts, counts)
+
+
+def _paired(x: list[np.ndarray], y: list[np.ndarray], hashes: np.ndarray) -> list[np.ndarray]:
+    """Pairs in the columns of PAIRS; x, y: document, centre, before, after."""
+    return [x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), np.minimum(x[3], y[3]), hashes]
+
+
+def _rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+    for lo in range(0, len(columns[0]), 50_000):
+        part = [c[lo : lo + 50_000] for c in columns]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in part[:2]), *(pa.array(c.astype(np.int32)) for c in part[2:])], names=names)
+
+
+def _met(windows: DataFrame) -> DataFrame:
+    """PAIRS of values with FEW classes at most, all of them; and the classes of the other values, their members packed:
+    rows with a value, a rank, and the representative as x, at, before and after."""
+    schema = pa.schema([*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in PAIRS.split(", ")), ("value", pa.int64()), ("rank", pa.int32()), ("members", pa.binary())])
+
+    def filled(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    def met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        columns, own, heads, rank, counts = _classes([np.concatenate(c) for c in zip(*(_unpacked(b, _WINDOW) for b in blobs))])
+        value, _, *window = columns
+        few = counts[own] <= FEW
+        for back in range(FEW):  # the class itself, then each one before it
+            w = np.flatnonzero(few & (rank[own] >= back))
+            y = heads[own[w] - back]
+            w, y = (i[window[0][y] < window[0][w]] for i in (w, y))
+            for rows in _rows(_paired([c[w] for c in window], [c[y] for c in window], value[w] & np.uint64(7))):
+                yield filled(rows.num_rows, **dict(zip(rows.schema.names, rows.columns)))
+        many = np.flatnonzero(counts > FEW)
+        by_class = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[by_class], np.arange(len(heads) + 1))
+        for lo in range(0, len(many), 10_000):
+            some = many[lo : lo + 10_000]
+            first = heads[some]
+            members = [_packed(*(c[by_class[a:b]] for c in window)) for a, b in zip(edges[some].tolist(), edges[some + 1].tolist())]
+            yield filled(
+                len(some), x=pa.array(window[0][first], pa.int64()), **{n: pa.array(c[first].astype(np.int32)) for n, c in zip(("at", "before", "after"), window[1:])},
+                value=pa.array(value[first].view(np.int64)), rank=pa.array(rank[some].astype(np.int32)), members=pa.array(members, pa.binary()),
+            )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for b, w, p in zip(batch.column("bucket").to_pylist(), batch.column("windows"), batch.column("pairs")):
-                if b != bucket:
+            for b, w in zip(batch.column("bucket").to_pylist(), batch.column("windows")):
+                if b != bucket and held:
                     yield from met(held)
-                    bucket, held = b, []
-                if w.is_valid:
-                    held.append(w.as_py())
-                if p.is_valid:
-                    yield from rows(_unpacked(p.as_py(), _PAIR))
-        yield from met(held)
+                    held = []
+                bucket = b
+                held.append(w.as_py())
+        if held:
+            yield from met(held)
+
+    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, f"{PAIRS}, value bigint, rank int, members binary")
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of words."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 64) * 64), bool)
+    wide[:, : x.shape[1]] = x
+    return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+
 
-    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, PAIRS)
+def partners(value: np.ndarray, doc: np.ndarray, around: np.ndarray, there: np.ndarray, entries: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of classes of the same value that must meet; rows are in order of value and rank.
+
+    `around`: the shingles around the centre, where `there`. x meets each class y of an earlier document, unless one that it
+    meets, of a smaller rank, has all that y has of x: the same places at the same distance from the centre, and the same
+    shingles elsewhere around it. So the first class meets all others, and others are looked for only where one of the shingles
+    that x does not share with the first occurs before x.
+    """
+    n, wide = around.shape
+    hub = np.zeros(n, np.int64)
+    begin = _starts(value)
+    hub[:] = np.repeat(begin, np.diff(np.append(begin, n)))
+    docs = _starts(value, doc)
+    before = np.repeat(docs, np.diff(np.append(docs, n)))  # classes hub to here are of earlier documents
+    out_x, out_y = [np.flatnonzero(hub < before)], [hub[hub < before]]
+    shared = there & there[hub] & (around == around[hub])
+    # The earlier class that shares most with x, of those that are the first to hold one of its shingles at its place.
+    row, place = np.nonzero(there & ~shared)
+    order = np.argsort(text.mix(text.mix(around[row, place] + (place.astype(np.uint64) << np.uint64(32))) + hub[row].astype(np.uint64)), kind="stable")
+    row, place = row[order], place[order]
+    runs = _starts(hub[row], place, around[row, place])
+    x, y = row, np.repeat(row[runs], np.diff(np.append(runs, len(row))))
+    pair = _distinct((x * n + y)[y < before[x]])
+    x, y = pair // n, pair % n
+    most, full = hub.copy(), shared.copy()
+    for lo in range(0, len(x), 50_000):
+        some_x, some_y = x[lo : lo + 50_000], y[lo : lo + 50_000]
+        same = there[some_x] & there[some_y] & (around[some_x] == around[some_y])
+        size = same.sum(1)
+        order = np.lexsort((size, some_x))
+        order = order[np.append(some_x[order][1:] != some_x[order][:-1], True)]
+        order = order[size[order] > full[some_x[order]].sum(1)]
+        most[some_x[order]], full[some_x[order]] = some_y[order], same[order]
+    # Postings: which rows of a value hold a shingle, each once, with its first place there.
+    cell = np.flatnonzero(there)
+    row, place = cell // wide, cell % wide
+    order = np.lexsort((around.ravel()[cell], hub[row]))
+    row, place, code = row[order], place[order], around.ravel()[cell[order]]
+    once = _starts(hub[row], code, row)
+    alone, beyond = (np.logical_or.reduceat(~s[row, place], once) if len(once) else np.empty(0, bool) for s in (shared, full))
+    row, place, code = row[once], place[once], code[once]
+    runs = _starts(hub[row], code)
+    sizes = np.diff(np.append(runs, len(row)))
+    lo, posting = np.repeat(runs, sizes), np.repeat(np.arange(len(runs)), sizes) * n + row
+    adds = np.zeros(n, bool)
+    adds[row[alone & (row[lo] < before[row])]] = True
+    open_ = np.flatnonzero((alone | beyond) & (row[lo] < before[row]) & adds[row])
+    open_ = open_[np.argsort(row[open_], kind="stable")]
+    # Up to the class that shares most, others must add to the first one; after it, to both, so either's shingles list them.
+    alone, beyond, base = alone[open_], beyond[open_], posting[open_] - row[open_]
+    split, last = np.searchsorted(posting, base + most[row[open_]] + 1), np.searchsorted(posting, base + before[row[open_]])
+    by_first, by_most = (np.bincount(row[open_], (last - split) * s, n) for s in (alone, beyond))
+    listed = np.where((by_first <= by_most)[row[open_]], alone, beyond)
+    begins = np.where(alone, lo[open_], split)
+    sizes = np.maximum(np.where(listed, last, split) - begins, 0)
+    heads = _starts(row[open_])
+    stops = np.append(heads, len(open_))
+    work = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes, heads) * np.diff(stops))]) if len(heads) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(heads):
+        b = max(int(np.searchsorted(work, work[a] + entries, "right")) - 1, a + 1)
+        some, count = open_[stops[a] : stops[b]], sizes[stops[a] : stops[b]]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begins[stops[a] : stops[b]], count)
+        pair = _distinct((np.repeat(row[some], count) - row[some[0]]) * n + row[at])
+        x, y = pair // n + row[some[0]], pair % n
+        # Which of the open shingles of x each y holds.
+        own = np.searchsorted(row[open_[heads[a:b]]], x)
+        count = np.diff(stops[a : b + 1])[own]
+        which = np.repeat(np.arange(len(x)), count)
+        u = open_[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(stops[a:b][own], count)]
+        a = b
+
+        def holds(z: np.ndarray) -> np.ndarray:
+            wanted = posting[u] - row[u] + z[which]
+            found = posting[np.minimum(np.searchsorted(posting, wanted), len(posting) - 1)] == wanted
+            out = np.zeros((len(x), wide), bool)
+            out[which[found], place[u[found]]] = True
+            return _bits(out)
+
+        has = np.concatenate([_bits(there[x] & there[y] & (around[x] == around[y])), holds(y)], axis=1)
+        alive = (has & ~np.concatenate([_bits(shared[x]), holds(hub[x])], axis=1)).any(1)
+        while alive.any():
+            x, y, has = x[alive], y[alive], has[alive]
+            xs = _starts(x)
+            out_x.append(x[xs])
+            out_y.append(y[xs])
+            alive = (has & ~np.repeat(has[xs], np.diff(np.append(xs, len(x))), axis=0)).any(1)
+    return np.concatenate(out_x), np.concatenate(out_y)
+
+
+def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
+    """PAIRS of the values with many classes."""
+    wide = 2 * t - 1
+    side = lambda c: f"least({c}, {t - 1})"
+    around = F.expr(f"substring(seq, cast(4 * (at - {side('before')}) + 1 as int), cast(4 * ({side('before')} + {side('after')} + 1) as int))")
+    dealt = classes.join(seqs.withColumnRenamed("id", "x"), "x").select("value", "rank", "x", "at", "before", "after", "members", around.alias("around"))
+
+    def met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        value, rank, doc, at, before, after = (rows.column(c).to_numpy() for c in ("value", "rank", "x", "at", "before", "after"))
+        left, right = np.minimum(before, t - 1), np.minimum(after, t - 1)
+        seqs = [np.frombuffer(x, "<u4") for x in rows.column("around").to_pylist()]
+        full = np.array([len(s) for s in seqs]) == left + right + 1  # others are of another row with this id
+        full[1:] &= ~((value[1:] == value[:-1]) & (rank[1:] == rank[:-1]) & full[:-1])
+        keep = np.flatnonzero(full)
+        value, doc, at, before, after, left, right = (c[keep] for c in (value, doc, at, before, after, left, right))
+        around, cols = np.zeros((len(keep), wide), np.uint32), np.arange(wide) - (t - 1)
+        there = (cols >= -left[:, None]) & (cols <= right[:, None])
+        if len(keep):
+            around[there] = np.concatenate([seqs[i] for i in keep.tolist()])
+        x, y = partners(value, doc, around, there)
+        blobs = rows.column("members").to_pylist()
+        members = [_unpacked(blobs[i], _MEMBER) for i in keep.tolist()]
+        sizes = np.array([len(m[0]) for m in members], np.int64)
+        if not len(sizes):
+            return
+        member, begin = [np.concatenate(c) for c in zip(*members)], np.cumsum(sizes) - sizes
+        x, y = np.concatenate([x, np.arange(len(sizes))]), np.concatenate([y, np.arange(len(sizes))])  # a class meets its first window too
+        chunk = np.cumsum(sizes[x]) // 500_000
+        for some in np.split(np.arange(len(x)), np.flatnonzero(np.diff(chunk)) + 1):
+            n = sizes[x[some]]
+            w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[x[some]], n)
+            z = np.repeat(y[some], n)
+            later = doc[z] < member[0][w]
+            w, z = w[later], z[later]
+            yield from _rows(_paired([c[w] for c in member], [c[z] for c in (doc, at, before, after)], value[z] & 7))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            v = batch.column("value").to_numpy()
+            if not len(v):
+                continue
+            if n + len(v) >= 4096:  # values that end here; the last one may go on in the next batch
+                cut = int(np.flatnonzero(v == v[-1])[0])
+                if cut or held and held[-1].column("value")[-1].as_py() != v[-1]:
+                    yield from met(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield from met(pa.Table.from_batches(held))
+
+    return dealt.repartition("value").sortWithinPartitions("value", "rank", "around").mapInArrow(task, PAIRS)
 
 
 def covered(at: np.ndarray, before: np.ndarray, after: np.ndarray, hashes: np.ndarray, t: int) -> list[tuple[int, int]]:
@@ -282,116 +464,123 @@ def _stretches(pairs: DataFrame, t: int) -> DataFrame:
     return dealt.mapInArrow(task, "x bigint, x_lo bigint, x_hi bigint, hub bigint, hub_lo bigint, hub_hi bigint")
 
 
-def _tries(ends: list[int], all_of: int = 32) -> list[int]:
-    """The ends to try, the farthest first: all of a few; of more, one after each halving of what is left, then the nearest few."""
-    out = []
-    while len(ends) > all_of:
-        out.append(ends[-1])
-        ends = ends[: len(ends) // 2]
-    return out + ends[::-1]
-
-
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Sorted distinct values, by a sort: numpy's own `unique` hashes, at several times the cost for such lengths."""
-    s = np.sort(x)
-    keep = np.ones(len(s), bool)
-    np.not_equal(s[1:], s[:-1], out=keep[1:])
-    return s[keep]
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two arrays of distinct values share."""
-    s = np.sort(np.concatenate([a, b]))
-    return int(np.count_nonzero(s[1:] == s[:-1]))
-
-
 def _middle(x: np.ndarray) -> int:
     """The median, towards 0."""
     s, half = np.sort(x), len(x) // 2
     return int(s[half]) if len(x) % 2 else int((int(s[half - 1]) + int(s[half])) / 2)
 
 
+def _before(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in order of value, and for each place the one before it with the same value, or -1."""
+    order = np.argsort(x, kind="stable")
+    out = np.full(len(x), -1)
+    same = x[order][1:] == x[order][:-1]
+    out[order[1:][same]] = order[:-1][same]
+    return order, out
+
+
 def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """(x from, x to, hub from, hub to, similarity) of the passages in two stretches of shingles, inclusive."""
-    order = np.argsort(hub, kind="stable")
-    place = np.searchsorted(hub[order], x)
-    there = order[np.minimum(place, len(hub) - 1)]
-    hit = np.flatnonzero(hub[there] == x)
-    same = hub[order][1:] == hub[order][:-1]
-    lone = np.ones(len(hub), bool)
-    lone[order[1:][same]] = lone[order[:-1][same]] = False
-    out: list[tuple[int, int, int, int, float]] = []
+    """(x from, x to, hub from, hub to, similarity) of the passages in two stretches of shingles, inclusive.
 
-    def scored(run: np.ndarray) -> tuple[float, int, int]:
-        """(similarity, hub from, hub to) of the stretch from the run's begin to its end."""
-        lo, hi = int(run[0]), int(run[-1])
-        own = _distinct(x[lo : hi + 1])
-        # Where the hub has it: along the diagonal of shingles that occur once there, of either end, or of the middle; or all of it.
-        shift = there[run] - run
-        once = shift[lone[there[run]]]
-        middle = _middle(once if len(once) else shift)
-        near = there[run][np.abs(shift - middle) <= DRIFT]
-        best = (0.0, 0, 0)
-        places = [(lo + k, hi + k) for k in sorted({middle, int(shift[0]), int(shift[-1])})] + ([(int(near.min()), int(near.max()))] if len(near) else []) + [(0, len(hub) - 1)]
-        for a, b in dict.fromkeys((max(a, 0), min(b, len(hub) - 1)) for a, b in places):
-            if a <= b and min(len(own), b - a + 1) >= best[0] * len(own) - 1e-6:  # else it holds too few to be as good
-                theirs = _distinct(hub[a : b + 1])
-                both = _common(own, theirs)
-                best = max(best, (both / (len(own) + len(theirs) - both), a, b))
-        return best
-
-    pieces = [r for r in np.split(hit, np.flatnonzero(np.diff(hit) > GAP) + 1) if len(r)]
-    known = len(_distinct(x[hit]))
-
-    def parted(p: np.ndarray, q: np.ndarray) -> bool:
-        """Whether no passage can go on from p to q: too much is missing between them, or they are on far diagonals for certain."""
-        if 100 * known < percent * (known + len(_distinct(x[p[-1] + 1 : q[0]]))):
-            return True
-        sure = lone[there[p]].all() and lone[there[q]].all()
-        return bool(sure and abs(int(there[q[0]] - q[0]) - int(there[p[-1]] - p[-1])) > DRIFT)
-
-    ends = [*(k for k in range(1, len(pieces)) if parted(pieces[k - 1], pieces[k])), len(pieces)]
-    # For every two pieces: the shared places between them, and the least number of other shingles there (each counted where it is first).
-    fresh = np.zeros(len(x), bool)
-    fresh[np.unique(x, return_index=True)[1]] = True
-    fresh[hit] = False
-    missing = np.concatenate([[0], np.cumsum(fresh)])
-    begin, stop = np.array([int(p[0]) for p in pieces] or [0]), np.array([int(p[-1]) + 1 for p in pieces] or [0])
-    shared = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-    runs: list[np.ndarray] = []
-    i = 0
-    while i < len(pieces):
-        following = i + 1
-        end = next(e for e in ends if e > i)
-        have = shared[i + 2 : end + 1] - shared[i]
-        may = (100 - percent) * have >= percent * (missing[stop[i + 1 : end]] - missing[begin[i]])
-        for j in _tries((np.flatnonzero(may & (stop[i + 1 : end] - begin[i] >= t)) + i + 1).tolist()):
-            lo, hi = int(pieces[i][0]), int(pieces[j][-1])
-            joined = np.concatenate(pieces[i : j + 1])
-            if 100 * len(_distinct(x[joined])) < percent * len(_distinct(x[lo : hi + 1])):
-                continue
-            if 100 * (best := scored(joined))[0] >= percent:
-                out.append((lo, hi, best[1], best[2], best[0]))
-                following = j + 1
-                break
-        if following == i + 1:
-            runs.append(pieces[i])
-        i = following
-    while runs:
-        run = runs.pop()
-        if not len(run) or run[-1] - run[0] + 1 < t:
+    Runs of shared shingles are aligned with the hub; from each run's begin, the farthest end of a run is taken at which the
+    stretch is similar enough to the hub's stretch between the same runs, or to the whole hub. All ends are scored at once, by
+    running counts of distinct shingles; only stretches inside one that was found before are left out.
+    """
+    x_before = _before(x)[1]
+    by_value, hub_before = _before(hub)
+    ranked = hub[by_value]
+    begins = np.flatnonzero(hub_before[by_value] < 0)  # where each value of the hub begins
+    kind = np.searchsorted(ranked[begins], x)
+    kind[kind == len(begins)] = 0
+    shares = ranked[begins][kind] == x
+    hit = np.flatnonzero(shares)
+    if not len(hit):
+        return []
+    wide = len(hub) + 1
+    keyed = (np.cumsum(hub_before[by_value] < 0) - 1) * wide + by_value  # values' places, in order
+
+    def following(places: np.ndarray, least) -> np.ndarray:
+        """Where the hub has the shingles at `places` next, from `least` on; `wide` if nowhere."""
+        k = kind[places]
+        found = np.minimum(np.searchsorted(keyed, k * wide + least), len(keyed) - 1)
+        there = keyed[found] - k * wide
+        return np.where((there >= least) & (there < wide), there, wide)
+
+    cuts = np.flatnonzero(np.diff(hit) > 1) + 1
+    begin, end = hit[np.concatenate([[0], cuts])], hit[np.concatenate([cuts - 1, [len(hit) - 1]])]
+    n = len(begin)
+    # Each run's distance from its place in the hub: the middle one of the shingles that the hub holds once; else the nearest to that of the run before.
+    lone = np.diff(np.append(begins, len(hub)))[kind] == 1
+    there = by_value[begins[kind]]
+    shift, known = np.zeros(n, np.int64), np.zeros(n, bool)
+    for j, (lo, hi) in enumerate(zip(begin.tolist(), end.tolist())):
+        own = np.flatnonzero(lone[lo : hi + 1]) + lo
+        if len(own):
+            shift[j], known[j] = _middle(there[own] - own), True
+    last = shift[known][0] if known.any() else int(there[begin[0]] - begin[0])
+    after_last = np.append(begins, len(hub))
+
+    def nearest(place: int, to: int) -> int:
+        """Where the hub has the shingle at `place`, as near to `to` as can be."""
+        places = by_value[after_last[kind[place]] : after_last[kind[place] + 1]]
+        return int(places[0] if len(places) == 1 else places[np.argmin(np.abs(places - to))])
+
+    begin_there, end_there = np.empty(n, np.int64), np.empty(n, np.int64)
+    for j, (lo, hi) in enumerate(zip(begin.tolist(), end.tolist())):
+        if not known[j]:
+            shift[j] = nearest(lo, lo + last) - lo
+        last = int(shift[j])
+        begin_there[j], end_there[j] = nearest(lo, lo + last), nearest(hi, hi + last)
+    # Shingles that the other side lacks, each where it is first: what surely counts against a stretch.
+    lacking = np.concatenate([[0], np.cumsum(~shares & (x_before < 0))])
+    held = np.zeros(len(begins), bool)
+    held[kind[hit]] = True
+    other = np.zeros(len(hub), bool)
+    other[by_value[begins[~held]]] = True
+    spare = np.concatenate([[0], np.cumsum(other)])
+    total = int(np.count_nonzero(held))
+    length = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    # No passage goes on where too much is missing, or between far diagonals.
+    gap = lacking[begin[1:]] - lacking[end[:-1] + 1]
+    apart = (100 * total < percent * (total + gap)) | (known[1:] & known[:-1] & (np.abs(np.diff(shift)) > DRIFT))
+    stops = np.append(np.flatnonzero(apart) + 1, n)
+    out: list[tuple[int, int, int, int, float]] = []
+    reached = -1
+    for i in range(n):
+        stop = int(stops[np.searchsorted(stops, i, "right")])
+        lo, a = int(begin[i]), min(max(int(begin[i] + shift[i]), 0), len(hub) - 1)
+        if end[stop - 1] <= reached or end[stop - 1] - lo + 1 < t:
             continue
-        best = scored(run)
-        if 100 * best[0] >= percent:
-            out.append((int(run[0]), int(run[-1]), best[1], best[2], best[0]))
-        else:
-            gaps = np.diff(run)
-            if len(gaps) and gaps.max() > 1:
-                cut = int(np.argmax(gaps)) + 1
-                runs += [run[:cut], run[cut:]]
-            elif len(gaps) > t:
-                # No gap to cut at: the hub repeats itself in another order; try the halves.
-                runs += [run[: len(run) // 2], run[len(run) // 2 :]]
+        ends = end[i:stop]
+        b = np.clip(np.maximum.accumulate(ends + shift[i:stop]), a, len(hub) - 1)
+        fits = (ends - lo + 1 >= t) & (ends > reached)
+        have, lack = length[i + 1 : stop + 1] - length[i], lacking[ends + 1] - lacking[lo]
+        a_near, b_near = int(begin_there[i]), np.maximum(np.maximum.accumulate(end_there[i:stop]), begin_there[i])
+        options = [(a, b), (0, np.full(len(b), len(hub) - 1))]
+        if a_near != a or (b_near != b).any():
+            options.append((a_near, b_near))
+        best = None
+        for low, high in options:
+            theirs = spare[high + 1] - spare[low]
+            may = np.flatnonzero(fits & (100 * np.minimum(have, total) >= percent * (np.minimum(have, total) + lack + theirs)))
+            if not len(may) or best and ends[may[-1]] <= best[1]:
+                continue
+            m = int(may[-1]) + 1
+            places = np.arange(lo, int(ends[m - 1]) + 1)
+            first = x_before[lo : lo + len(places)] < lo
+            own = np.cumsum(first)[ends[:m] - lo]
+            of_hub = np.cumsum(hub_before[low : int(high[m - 1]) + 1] < low)[high[:m] - low]
+            mine = places[first & shares[lo : lo + len(places)]]
+            when = np.maximum(np.searchsorted(ends[:m], mine), np.searchsorted(high[:m], following(mine, low)))
+            both = np.cumsum(np.bincount(when, minlength=m + 1)[:m])
+            union = own + of_hub - both
+            good = may[100 * both[may] >= percent * union[may]]
+            if len(good) and (not best or ends[good[-1]] > best[1]):
+                j = int(good[-1])
+                best = (lo, int(ends[j]), low, int(high[j]), int(both[j]) / int(union[j]))
+        if best:
+            out.append(best)
+            reached = best[1]
     return out
 
 
@@ -415,9 +604,14 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     (doc_id, start_word, end_word, source_doc_id, source_start, source_end, similarity)."""
     docs, t = store.lean(docs), min_words - SHINGLE + 1
     buckets = 4 * store.partitions(docs.sparkSession)
-    found = store.saved(_stretches(_pairs(_windows(docs, t, buckets)), t))
-    ids = store.saved(found.select(F.col("x").alias("id")).union(found.select("hub")).distinct())
-    seqs = _sequences(docs, ids)
+    met = store.saved(_met(_windows(docs, t, buckets)))
+    pairs, classes = met.filter("value is null"), met.filter("value is not null")
+    first = store.saved(classes.select(F.col("x").alias("id")).distinct())
+    seqs = _sequences(docs, first)
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+    found = store.saved(_stretches(pairs.select(*names).union(_held(classes, seqs, t)), t))
+    rest = found.select(F.col("x").alias("id")).union(found.select("hub")).distinct().join(first, "id", "left_anti")
+    seqs = seqs.union(_sequences(docs, store.saved(rest)))
     part = lambda lo, hi: F.expr(f"substring(seq, cast(4 * {lo} + 1 as int), cast(4 * ({hi} - {lo} + 1) as int))")
     with_hub = found.join(seqs.withColumnRenamed("id", "hub"), "hub").withColumn("hub_seq", part("hub_lo", "hub_hi")).drop("seq", "hub_hi")
     with_both = with_hub.join(seqs.withColumnRenamed("id", "x"), "x").withColumn("x_seq", part("x_lo", "x_hi"))

@@ -127,3 +127,55 @@ def test_verification_counts_by_sorts(monkeypatch):
             own, theirs = set(x[a : b + 1].tolist()), set(hub[c : d + 1].tolist())
             assert similarity == len(own & theirs) / len(own | theirs) >= 0.8
         assert len(calls) <= 1
+
+
+def test_a_passage_of_two_lines_that_many_documents_hold_apart(spark):
+    """Neither the first document nor the one before shares more than single lines with the last two; found only if these two meet."""
+    rng = random.Random(11)
+    new = lambda n: [f"n{rng.randrange(10**7)}" for _ in range(n)]
+    for edit in ([], ["edit"]):
+        lines = [new(35), new(35)]
+        apart = lambda: [*new(20), *lines[0], *new(20), *lines[1], *new(20)]
+        whole = [*new(15), *lines[0], *lines[1], *new(15)]
+        rows = [(i, " ".join(apart())) for i in range(12) if i != 5] + [(5, " ".join(whole)), (20, " ".join([*new(9), *lines[0], *edit, *lines[1], *new(9)]))]
+        got = covered_words(P.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        assert set(got) == {20} and set(range(9, 79 + len(edit))) <= got[20]
+
+
+def test_a_hub_that_repeats_a_line_is_met_at_every_place(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"n{rng.randrange(10**7)}" for _ in range(n)]
+    line, ends = new(36), (new(8), new(8))
+    hub = [*new(30), *line, *new(30), *ends[0], *line, *ends[1], *new(30), *line, *new(30)]
+    df = spark.createDataFrame([(0, " ".join(hub)), (1, " ".join([*new(20), *ends[0], *line, *ends[1], *new(20)]))], "doc_id bigint, text string")
+    assert covered_words(P.passages(df).collect()) == {1: set(range(20, 72))}
+
+
+def test_partners_leave_out_only_what_another_one_has():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        n, wide = 60, 11
+        value, doc = np.sort(rng.integers(0, 4, n)), rng.integers(0, 25, n)
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        around = rng.integers(1, 7, (n, wide)).astype(np.uint32)
+        there = np.abs(np.arange(wide) - 5) <= rng.integers(2, 6, n)[:, None]
+        around[~there] = 0
+        around[:, 5] = 99
+        has = lambda x, y: ({(p, int(around[x, p])) for p in range(wide) if there[x, p] and there[y, p] and around[x, p] == around[y, p]})
+        whole = list(zip(*(a.tolist() for a in P.partners(value, doc, around, there))))
+        assert set(whole) == set(zip(*(a.tolist() for a in P.partners(value, doc, around, there, 50)))) and len(whole) == len(set(whole))
+        met = {}
+        for x, y in whole:
+            assert value[x] == value[y] and doc[y] < doc[x]
+            met.setdefault(x, []).append(y)
+        for x in range(n):
+            for y in range(n):
+                if value[x] == value[y] and doc[y] < doc[x] and y not in met[x]:
+                    assert any(z < y and has(x, y) <= has(x, z) for z in met[x])
+
+
+def test_rows_do_not_depend_on_how_documents_are_dealt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [sorted(map(tuple, P.passages(docs.repartition(n, "text")).collect())) for n in (1, 7)]
+    assert rows[0] == rows[1]
