@@ -7,10 +7,11 @@ one (centre, window) stands for all of them. Only windows as long as the
 shortest passage matter; their centres are the minima of sliding windows, and
 the tree is built of these alone.
 
-Windows with the same minimum under the same hash meet. The one of the
-smallest document is the hub that the others are paired with, first within a
-batch of texts, then across: a value that many documents hold sends one window
-from each batch, and makes as many pairs as windows, never their square.
+Windows with the same minimum under the same hash meet. Those that are equal
+for the shortest passage's length to both sides form a class, with its first
+window as representative. A class meets its own representative and each one of
+an earlier document, unless one that it meets has all that this one shares
+with it there. Copies make as many pairs as windows, never their square.
 An interval join gives the stretches of two texts that at least two hash
 functions cover with overlapping windows on nearby diagonals. These are
 verified on the shingles themselves: a passage is a stretch between shared
@@ -19,8 +20,7 @@ similarity of 0.8 or more with that of the hub's stretch. Runs of shared
 shingles on nearby diagonals are joined, whatever the gap, while this holds.
 
 A passage is reported for every document but the first that holds it, by
-smallest id; repeats within one document are not. Which earlier document is
-named as its source, and a few spans, depend on which texts share a batch. A
+smallest id; repeats within one document are not. How rows are dealt changes nothing. A
 passage can be reported more than once, with different sources. Null and short
 texts have no passages; texts of any length are read whole; rows with null ids
 take no part, and rows with equal ids count as one document. Empty tables give
@@ -43,7 +43,7 @@ from postlane.llm import store, text, tokens
 HASHES, ENOUGH, SHINGLE = 6, 2, 5
 #: Values with so many classes of windows at most make all pairs of these.
 FEW = 4
-#: Diagonals this close belong to one alignment; runs of shared shingles part at gaps beyond this, and are joined by their similarity.
+#: Diagonals this close belong to one alignment; stretches to be verified are longer by this at both ends.
 DRIFT, GAP = 32, 6
 BROADCAST_IDS = 500_000
 FACTORS = text.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64) * text.GOLD) | np.uint64(1)
@@ -100,7 +100,7 @@ def _unpacked(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 #: value, context, document, centre, places before and after it.
 _WINDOW = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4")
-_MEMBER = ("<i8", "<u4", "<u4", "<u4")
+_MEMBER = np.dtype([("doc", "<i8"), ("at", "<u4"), ("before", "<u4"), ("after", "<u4")])
 
 
 def _contexts(seq: np.ndarray, centre: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def _classes(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, n
 
 def _paired(x: list[np.ndarray], y: list[np.ndarray], hashes: np.ndarray) -> list[np.ndarray]:
     """Pairs in the columns of PAIRS; x, y: document, centre, before, after."""
-    return [x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), np.minimum(x[3], y[3]), hashes]
+    return [x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), np.minimum(x[3], y[3]), hashes.astype("u1")]
 
 
 def _rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def _rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(windows: DataFrame) -> DataFrame:
-    """PAIRS of values with FEW classes at most, all of them; and the classes of the other values, their members packed:
+    """PAIRS of values with FEW classes at most, all of them; and the classes of the other values, their other members packed:
     rows with a value, a rank, and the representative as x, at, before and after."""
     schema = pa.schema([*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in PAIRS.split(", ")), ("value", pa.int64()), ("rank", pa.int32()), ("members", pa.binary())])
 
@@ -223,10 +223,17 @@ def _met(windows: DataFrame) -> DataFrame:
         for lo in range(0, len(many), 10_000):
             some = many[lo : lo + 10_000]
             first = heads[some]
-            members = [_packed(*(c[by_class[a:b]] for c in window)) for a, b in zip(edges[some].tolist(), edges[some + 1].tolist())]
+            sizes = edges[some + 1] - edges[some] - 1  # but the first window, the representative
+            ends = np.cumsum(sizes)
+            held = by_class[np.arange(int(ends[-1])) + np.repeat(edges[some] + 1 - ends + sizes, sizes)]
+            records = np.empty(len(held), _MEMBER)
+            for n, c in zip(_MEMBER.names, window):
+                records[n] = c[held]
+            offsets = np.concatenate([[0], ends]) * _MEMBER.itemsize
+            members = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(records.tobytes())])
             yield filled(
                 len(some), x=pa.array(window[0][first], pa.int64()), **{n: pa.array(c[first].astype(np.int32)) for n, c in zip(("at", "before", "after"), window[1:])},
-                value=pa.array(value[first].view(np.int64)), rank=pa.array(rank[some].astype(np.int32)), members=pa.array(members, pa.binary()),
+                value=pa.array(value[first].view(np.int64)), rank=pa.array(rank[some].astype(np.int32)), members=members.cast(pa.binary()),
             )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,25 +355,30 @@ def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
     around = F.expr(f"substring(seq, cast(4 * (at - {side('before')}) + 1 as int), cast(4 * ({side('before')} + {side('after')} + 1) as int))")
     dealt = classes.join(seqs.withColumnRenamed("id", "x"), "x").select("value", "rank", "x", "at", "before", "after", "members", around.alias("around"))
 
+    def joined(column: pa.ChunkedArray, keep: np.ndarray) -> bytes:
+        return b"".join((column if len(keep) == len(column) else column.take(pa.array(keep))).to_pylist())
+
     def met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         value, rank, doc, at, before, after = (rows.column(c).to_numpy() for c in ("value", "rank", "x", "at", "before", "after"))
         left, right = np.minimum(before, t - 1), np.minimum(after, t - 1)
-        seqs = [np.frombuffer(x, "<u4") for x in rows.column("around").to_pylist()]
-        full = np.array([len(s) for s in seqs]) == left + right + 1  # others are of another row with this id
+        full = pa.compute.binary_length(rows.column("around")).to_numpy() == 4 * (left + right + 1)  # others are of another row with this id
         full[1:] &= ~((value[1:] == value[:-1]) & (rank[1:] == rank[:-1]) & full[:-1])
         keep = np.flatnonzero(full)
         value, doc, at, before, after, left, right = (c[keep] for c in (value, doc, at, before, after, left, right))
         around, cols = np.zeros((len(keep), wide), np.uint32), np.arange(wide) - (t - 1)
         there = (cols >= -left[:, None]) & (cols <= right[:, None])
         if len(keep):
-            around[there] = np.concatenate([seqs[i] for i in keep.tolist()])
+            around[there] = np.frombuffer(joined(rows.column("around"), keep), "<u4")
         x, y = partners(value, doc, around, there)
-        blobs = rows.column("members").to_pylist()
-        members = [_unpacked(blobs[i], _MEMBER) for i in keep.tolist()]
-        sizes = np.array([len(m[0]) for m in members], np.int64)
-        if not len(sizes):
+        if not len(keep):
             return
-        member, begin = [np.concatenate(c) for c in zip(*members)], np.cumsum(sizes) - sizes
+        sizes = pa.compute.binary_length(rows.column("members")).to_numpy()[keep].astype(np.int64) // _MEMBER.itemsize + 1
+        records = np.frombuffer(joined(rows.column("members"), keep), _MEMBER)
+        begin, rest = np.cumsum(sizes) - sizes, np.ones(int(sizes.sum()), bool)
+        rest[begin] = False
+        member = [np.empty(len(rest), np.int64) for _ in _MEMBER.names]
+        for m, n, own in zip(member, _MEMBER.names, (doc, at, before, after)):
+            m[begin], m[rest] = own, records[n]
         x, y = np.concatenate([x, np.arange(len(sizes))]), np.concatenate([y, np.arange(len(sizes))])  # a class meets its first window too
         chunk = np.cumsum(sizes[x]) // 500_000
         for some in np.split(np.arange(len(x)), np.flatnonzero(np.diff(chunk)) + 1):
@@ -464,12 +476,6 @@ def _stretches(pairs: DataFrame, t: int) -> DataFrame:
     return dealt.mapInArrow(task, "x bigint, x_lo bigint, x_hi bigint, hub bigint, hub_lo bigint, hub_hi bigint")
 
 
-def _middle(x: np.ndarray) -> int:
-    """The median, towards 0."""
-    s, half = np.sort(x), len(x) // 2
-    return int(s[half]) if len(x) % 2 else int((int(s[half - 1]) + int(s[half])) / 2)
-
-
 def _before(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places in order of value, and for each place the one before it with the same value, or -1."""
     order = np.argsort(x, kind="stable")
@@ -509,14 +515,14 @@ def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple
     cuts = np.flatnonzero(np.diff(hit) > 1) + 1
     begin, end = hit[np.concatenate([[0], cuts])], hit[np.concatenate([cuts - 1, [len(hit) - 1]])]
     n = len(begin)
-    # Each run's distance from its place in the hub: the middle one of the shingles that the hub holds once; else the nearest to that of the run before.
+    # Each run's distance from its place in the hub: that of the middle one of the shingles that the hub holds once; else the nearest to that of the run before.
     lone = np.diff(np.append(begins, len(hub)))[kind] == 1
     there = by_value[begins[kind]]
-    shift, known = np.zeros(n, np.int64), np.zeros(n, bool)
-    for j, (lo, hi) in enumerate(zip(begin.tolist(), end.tolist())):
-        own = np.flatnonzero(lone[lo : hi + 1]) + lo
-        if len(own):
-            shift[j], known[j] = _middle(there[own] - own), True
+    alone = np.flatnonzero(lone & shares)
+    low, high = np.searchsorted(alone, begin), np.searchsorted(alone, end, "right")
+    known = high > low
+    middle = alone[np.minimum((low + high) // 2, len(alone) - 1)] if len(alone) else begin
+    shift = np.where(known, there[middle] - middle, 0)
     last = shift[known][0] if known.any() else int(there[begin[0]] - begin[0])
     after_last = np.append(begins, len(hub))
 
@@ -525,8 +531,10 @@ def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple
         places = by_value[after_last[kind[place]] : after_last[kind[place] + 1]]
         return int(places[0] if len(places) == 1 else places[np.argmin(np.abs(places - to))])
 
-    begin_there, end_there = np.empty(n, np.int64), np.empty(n, np.int64)
-    for j, (lo, hi) in enumerate(zip(begin.tolist(), end.tolist())):
+    begin_there, end_there = there[begin], there[end]
+    for j in np.flatnonzero(~(known & lone[begin] & lone[end])).tolist():
+        lo, hi = int(begin[j]), int(end[j])
+        last = int(shift[j - 1]) if j else last
         if not known[j]:
             shift[j] = nearest(lo, lo + last) - lo
         last = int(shift[j])
@@ -544,10 +552,17 @@ def verified(x: np.ndarray, hub: np.ndarray, t: int, percent: int) -> list[tuple
     gap = lacking[begin[1:]] - lacking[end[:-1] + 1]
     apart = (100 * total < percent * (total + gap)) | (known[1:] & known[:-1] & (np.abs(np.diff(shift)) > DRIFT))
     stops = np.append(np.flatnonzero(apart) + 1, n)
+    # The starts from which some end is near enough by what the hub lacks alone.
+    gain = (100 - percent) * length - percent * lacking[np.append(begin, end[-1] + 1)]
+    upto = (100 - percent) * length[1:] - percent * lacking[end + 1]
+    for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist()):
+        upto[lo:hi] = np.maximum.accumulate(upto[lo:hi][::-1])[::-1]
+    after = np.repeat(stops, np.diff(stops, prepend=0))
+    least = np.searchsorted(end, begin + t - 1)
     out: list[tuple[int, int, int, int, float]] = []
     reached = -1
-    for i in range(n):
-        stop = int(stops[np.searchsorted(stops, i, "right")])
+    for i in np.flatnonzero((least < after) & (upto[np.minimum(least, n - 1)] >= gain[:-1])).tolist():
+        stop = int(after[i])
         lo, a = int(begin[i]), min(max(int(begin[i] + shift[i]), 0), len(hub) - 1)
         if end[stop - 1] <= reached or end[stop - 1] - lo + 1 < t:
             continue
@@ -620,11 +635,10 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
         names = [c.split()[0] for c in FOUND.split(", ")]
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                x, hub = np.frombuffer(r["x_seq"], "<u4"), np.frombuffer(r["hub_seq"], "<u4")
-                if len(x) and len(hub):
-                    for a, b, c, d, sim in verified(x, hub, t, percent):
-                        out.append((r["x"], r["x_lo"] + a, r["x_lo"] + b + SHINGLE, r["hub"], r["hub_lo"] + c, r["hub_lo"] + d + SHINGLE, sim))
+            for d, lo, own, source, source_lo, theirs in zip(*(c.to_pylist() for c in batch.columns)):
+                if own and theirs:
+                    for a, b, c, e, sim in verified(np.frombuffer(own, "<u4"), np.frombuffer(theirs, "<u4"), t, percent):
+                        out.append((d, lo + a, lo + b + SHINGLE, source, source_lo + c, source_lo + e + SHINGLE, sim))
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 6 else pa.float64()) for k, c in enumerate(cols)], names=names)
 

@@ -179,3 +179,21 @@ def test_rows_do_not_depend_on_how_documents_are_dealt(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [sorted(map(tuple, P.passages(docs.repartition(n, "text")).collect())) for n in (1, 7)]
     assert rows[0] == rows[1]
+
+
+def test_verification_finds_every_stretch_between_edits():
+    """A long near copy whose edits are too many for the whole: a part that is similar enough was cut at the widest gap and lost."""
+    hub = np.arange(1, 400, dtype="<u4")
+    x = hub.copy()
+    for hole in (114, 121, 195, 231, 256, 275, 312, 330, 345, 360, 380):
+        x[hole : hole + 5] = 10_000 + np.arange(hole, hole + 5)
+    found = P.verified(x, hub, 46, 80)
+    shared, covered = np.flatnonzero(x == hub), set()
+    for a, b, c, d, similarity in found:
+        assert similarity == len(set(x[a : b + 1].tolist()) & set(hub[c : d + 1].tolist())) / len(set(x[a : b + 1].tolist()) | set(hub[c : d + 1].tolist()))
+        covered |= set(range(a, b + 1))
+    for lo in shared.tolist():
+        for hi in shared[shared >= lo + 45].tolist():
+            both = int(((shared >= lo) & (shared <= hi)).sum())
+            if 100 * both >= 80 * (2 * (hi - lo + 1) - both):
+                assert set(range(lo, hi + 1)) <= covered
