@@ -29,6 +29,7 @@ no rows. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -47,7 +48,7 @@ FEW = 4
 DRIFT, GAP = 32, 6
 BROADCAST_IDS = 500_000
 FACTORS = text.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64) * text.GOLD) | np.uint64(1)
-PAIRS = "x bigint, hub bigint, at int, hub_at int, before int, after int, hash int"
+PAIRS = "bucket bigint, pairs binary"
 FOUND = "doc_id bigint, start_word bigint, end_word bigint, source_doc_id bigint, source_start bigint, source_end bigint, similarity double"
 
 
@@ -59,6 +60,24 @@ def _sliding(best, x: np.ndarray, t: int) -> np.ndarray:
     return best(x[: len(x) - (t - w)], x[t - w :]) if w < t else x
 
 
+def _nearest(value: np.ndarray, beyond, few: int = 64) -> np.ndarray:
+    """For each value, the place of the nearest before it that is not `beyond` it. Zeros, of which one is the first value, look for nothing
+    and end every search. All go on at once from the place that the one they stopped at has found; the last `few` one by one."""
+    out = np.maximum(np.arange(-1, len(value) - 1), 0)
+    far = np.flatnonzero((value[1:] > 0) & beyond(value[:-1], value[1:])) + 1
+    at, own = far - 1, value[far]
+    while len(far) > few:
+        at = out[at]
+        out[far] = at
+        more = beyond(value[at], own)
+        far, at, own = far[more], at[more], own[more]
+    for i, j, x in zip(far.tolist(), at.tolist(), own):
+        while beyond(value[j], x):
+            j = int(out[j])
+        out[i] = j
+    return out
+
+
 def compact_windows(h: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centre, left, right), inclusive, of the windows of t or more in sequences laid end to end; `first`: where each begins,
     and the end of the last. Of equal minima the leftmost counts."""
@@ -68,20 +87,15 @@ def compact_windows(h: np.ndarray, first: np.ndarray, t: int) -> tuple[np.ndarra
     low[stop[: len(low)] - np.arange(len(low)) < t] = 0  # runs over a border
     pad = np.zeros(t - 1, np.uint64)
     centres = np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, low, pad]), t)[:n] == h)
-    begin = np.repeat(first[:-1], np.diff(first))
-    left, right = begin[centres].tolist(), (stop[centres] - 1).tolist()
-    stack: list[int] = []
-    value, place, border = h[centres].tolist(), centres.tolist(), begin[centres].tolist()
-    now = -1
-    for i, v in enumerate(value):
-        if border[i] != now:
-            now, stack = border[i], []
-        while stack and value[stack[-1]] > v:
-            right[stack.pop()] = place[i] - 1
-        if stack:
-            left[i] = place[stack[-1]] + 1
-        stack.append(i)
-    return centres, np.array(left, np.int64), np.array(right, np.int64)
+    begin = np.repeat(first[:-1], np.diff(first))[centres]
+    place = np.arange(1, len(centres) + 1) + np.cumsum(np.diff(begin, prepend=begin[:1]) > 0)
+    value = np.zeros(len(centres) + 2 + int((begin[1:] > begin[:-1]).sum()), np.uint64)  # zeros part the sequences
+    value[place] = np.maximum(h[centres], 1)
+    left, right = np.full(len(value), -1), np.full(len(value), n)
+    left[place] = right[place] = centres
+    left = left[_nearest(value, np.greater)]
+    right = right[len(value) - 1 - _nearest(value[::-1], np.greater_equal)[::-1]]
+    return centres, np.maximum(left[place] + 1, begin), np.minimum(right[place], stop[centres]) - 1
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -100,9 +114,52 @@ def _unpacked(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 #: value, context, document, centre, places before and after it.
 _WINDOW = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u4")
+#: document, that of the one it meets, centres in both, places before and after that both have, hash function.
+_PAIR = ("<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "u1")
 _MEMBER = np.dtype([("doc", "<i8"), ("at", "<u4"), ("before", "<u4"), ("after", "<u4")])
 
 
+def _bucketed(columns: list[np.ndarray], keys: np.ndarray, buckets: int, within: np.ndarray | int = 0) -> tuple[pa.Array, pa.Array]:
+    """Buckets by key, and the rows of each, packed, in order of `within`, which is less than 2^32."""
+    bucket = (text.mix(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort((bucket << 32) + within, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    columns = [c[order] for c in columns]
+    keep = [b for b in range(buckets) if edges[b + 1] > edges[b]]
+    return pa.array(keep, pa.int64()), pa.array([_packed(*(c[edges[b] : edges[b + 1]] for c in columns)) for b in keep], pa.binary())
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket, of rows (bucket, packed) in order of bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if b != bucket and held:
+                yield [np.concatenate(c) for c in zip(*(_unpacked(h, kinds) for h in held))]
+                held = []
+            bucket = b
+            held.append(blob.as_py())
+    if held:
+        yield [np.concatenate(c) for c in zip(*(_unpacked(h, kinds) for h in held))]
+
+
+def _parcels(stream: Iterator, buckets: int, size: int = 500_000) -> Iterator:
+    """Pairs, `size` or more at a time, in buckets by x; what else is in `stream` goes through."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for pairs in itertools.chain(stream, [None]):
+        if isinstance(pairs, pa.RecordBatch):
+            yield pairs
+            continue
+        if pairs is not None:
+            held.append(pairs)
+            n += len(pairs[0])
+        if n and (pairs is None or n >= size):
+            columns = [np.concatenate(c) for c in zip(*held)]
+            yield _bucketed(columns, columns[0].astype(np.uint64), buckets)
+            held, n = [], 0
+
+
 def _contexts(seq: np.ndarray, centre: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """A hash of the stretch around each centre, and of the centre's place in it."""
     power, back = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(seq), f, np.uint64))]) for f in (text.GOLD, np.uint64(pow(int(text.GOLD), -1, 1 << 64))))
@@ -116,16 +173,17 @@ def _windows(docs: DataFrame, t: int, buckets: int) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
-        memo = text.Words()
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, hi in text.chunks(texts, 2_000_000):
-                seqs = [(d, s) for d, s in ((d, text.shingles(memo.hashes(x), SHINGLE)) for d, x in zip(names[lo:hi], texts[lo:hi]) if d is not None and x) if len(s) >= t]
-                if not seqs:
+                flat, first = text.sequences(texts[lo:hi], SHINGLE)
+                sizes = np.diff(first)
+                long = (sizes >= t) & np.array([d is not None for d in names[lo:hi]])
+                if not long.any():
                     continue
-                flat, sizes = np.concatenate([s for _, s in seqs]), np.array([len(s) for _, s in seqs])
+                flat, sizes = flat[np.repeat(long, sizes)], sizes[long]
                 first = np.concatenate([[0], np.cumsum(sizes)])
-                ids, owner = np.array([d for d, _ in seqs], "<i8"), np.repeat(np.arange(len(seqs)), sizes)
+                ids, owner = np.array([d for d, ok in zip(names[lo:hi], long) if ok], "<i8"), np.repeat(np.arange(len(sizes)), sizes)
                 parts = []
                 for j in range(HASHES):
                     h = flat * FACTORS[j]
@@ -133,13 +191,8 @@ def _windows(docs: DataFrame, t: int, buckets: int) -> DataFrame:
                     parts.append(((h[c] & ~np.uint64(7)) | np.uint64(j), c, c - left, right - c))
                 value, c, before, after = (np.concatenate(p) for p in zip(*parts))
                 context = _contexts(flat >> np.uint64(32), c, np.minimum(before, t - 1), np.minimum(after, t - 1))
-                bucket = (text.mix(value) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((c, bucket))
-                columns = [x[order] for x in (value, context, ids[owner[c]], (c - first[owner[c]]).astype("<u4"), before.astype("<u4"), after.astype("<u4"))]
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-                keep = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-                packed = [_packed(*(x[edges[b] : edges[b + 1]] for x in columns)) for b in keep]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keep, pa.int64()), "windows": pa.array(packed, pa.binary())})
+                columns = [value, context, ids[owner[c]], (c - first[owner[c]]).astype("<u4"), before.astype("<u4"), after.astype("<u4")]
+                yield pa.RecordBatch.from_arrays([*_bucketed(columns, value, buckets, c)], names=["bucket", "windows"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, "bucket bigint, windows binary")
 
@@ -188,35 +241,28 @@ def _classes(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, n
 
 
 def _paired(x: list[np.ndarray], y: list[np.ndarray], hashes: np.ndarray) -> list[np.ndarray]:
-    """Pairs in the columns of PAIRS; x, y: document, centre, before, after."""
-    return [x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), np.minimum(x[3], y[3]), hashes.astype("u1")]
-
+    """Pairs in the columns of _PAIR; x, y: document, centre, before, after."""
+    columns = [x[0], y[0], x[1], y[1], np.minimum(x[2], y[2]), np.minimum(x[3], y[3]), hashes]
+    return [c.astype(kind) for c, kind in zip(columns, _PAIR)]
 
-def _rows(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-    for lo in range(0, len(columns[0]), 50_000):
-        part = [c[lo : lo + 50_000] for c in columns]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in part[:2]), *(pa.array(c.astype(np.int32)) for c in part[2:])], names=names)
 
-
-def _met(windows: DataFrame) -> DataFrame:
+def _met(windows: DataFrame, buckets: int) -> DataFrame:
     """PAIRS of values with FEW classes at most, all of them; and the classes of the other values, their other members packed:
     rows with a value, a rank, and the representative as x, at, before and after."""
-    schema = pa.schema([*((c.split()[0], pa.int64() if c.endswith("bigint") else pa.int32()) for c in PAIRS.split(", ")), ("value", pa.int64()), ("rank", pa.int32()), ("members", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("pairs", pa.binary()), ("value", pa.int64()), ("rank", pa.int32()), ("x", pa.int64()), *((n, pa.int32()) for n in ("at", "before", "after")), ("members", pa.binary())])
 
     def filled(n: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
-    def met(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns, own, heads, rank, counts = _classes([np.concatenate(c) for c in zip(*(_unpacked(b, _WINDOW) for b in blobs))])
+    def met(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch | list[np.ndarray]]:
+        columns, own, heads, rank, counts = _classes(columns)
         value, _, *window = columns
         few = counts[own] <= FEW
         for back in range(FEW):  # the class itself, then each one before it
             w = np.flatnonzero(few & (rank[own] >= back))
             y = heads[own[w] - back]
             w, y = (i[window[0][y] < window[0][w]] for i in (w, y))
-            for rows in _rows(_paired([c[w] for c in window], [c[y] for c in window], value[w] & np.uint64(7))):
-                yield filled(rows.num_rows, **dict(zip(rows.schema.names, rows.columns)))
+            yield _paired([c[w] for c in window], [c[y] for c in window], value[w] & np.uint64(7))
         many = np.flatnonzero(counts > FEW)
         by_class = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[by_class], np.arange(len(heads) + 1))
@@ -237,18 +283,11 @@ def _met(windows: DataFrame) -> DataFrame:
             )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-        for batch in batches:
-            for b, w in zip(batch.column("bucket").to_pylist(), batch.column("windows")):
-                if b != bucket and held:
-                    yield from met(held)
-                    held = []
-                bucket = b
-                held.append(w.as_py())
-        if held:
-            yield from met(held)
+        for out in _parcels(itertools.chain.from_iterable(map(met, _by_bucket(batches, _WINDOW))), buckets):
+            yield out if isinstance(out, pa.RecordBatch) else filled(len(out[0]), bucket=out[0], pairs=out[1])
 
-    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, f"{PAIRS}, value bigint, rank int, members binary")
+    kinds = "value bigint, rank int, x bigint, at int, before int, after int, members binary"
+    return windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, f"{PAIRS}, {kinds}")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -348,7 +387,7 @@ def partners(value: np.ndarray, doc: np.ndarray, around: np.ndarray, there: np.n
     return np.concatenate(out_x), np.concatenate(out_y)
 
 
-def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
+def _held(classes: DataFrame, seqs: DataFrame, t: int, buckets: int) -> DataFrame:
     """PAIRS of the values with many classes."""
     wide = 2 * t - 1
     side = lambda c: f"least({c}, {t - 1})"
@@ -358,7 +397,7 @@ def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
     def joined(column: pa.ChunkedArray, keep: np.ndarray) -> bytes:
         return b"".join((column if len(keep) == len(column) else column.take(pa.array(keep))).to_pylist())
 
-    def met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def met(rows: pa.Table) -> Iterator[list[np.ndarray]]:
         value, rank, doc, at, before, after = (rows.column(c).to_numpy() for c in ("value", "rank", "x", "at", "before", "after"))
         left, right = np.minimum(before, t - 1), np.minimum(after, t - 1)
         full = pa.compute.binary_length(rows.column("around")).to_numpy() == 4 * (left + right + 1)  # others are of another row with this id
@@ -387,9 +426,9 @@ def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
             z = np.repeat(y[some], n)
             later = doc[z] < member[0][w]
             w, z = w[later], z[later]
-            yield from _rows(_paired([c[w] for c in member], [c[z] for c in (doc, at, before, after)], value[z] & 7))
+            yield _paired([c[w] for c in member], [c[z] for c in (doc, at, before, after)], value[z] & 7)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
@@ -406,6 +445,10 @@ def _held(classes: DataFrame, seqs: DataFrame, t: int) -> DataFrame:
         if held:
             yield from met(pa.Table.from_batches(held))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in _parcels(pairs(batches), buckets):
+            yield pa.RecordBatch.from_arrays([*out], names=["bucket", "pairs"])
+
     return dealt.repartition("value").sortWithinPartitions("value", "rank", "around").mapInArrow(task, PAIRS)
 
 
@@ -432,48 +475,29 @@ def covered(at: np.ndarray, before: np.ndarray, after: np.ndarray, hashes: np.nd
 def _stretches(pairs: DataFrame, t: int) -> DataFrame:
     """(x, x_lo, x_hi, hub, hub_lo, hub_hi) to be verified, in shingles."""
 
-    def group(x: int, hub: int, at, hub_at, before, after, hashes) -> list[tuple]:
-        out = []
+    names = ["x", "x_lo", "x_hi", "hub", "hub_lo", "hub_hi"]
+
+    def stretches(columns: list[np.ndarray]) -> Iterator[tuple]:
+        x, hub, at, hub_at, before, after, hashes = (c.astype(np.int64) for c in columns)
         diagonal = at - hub_at
-        order = np.argsort(diagonal, kind="stable")
-        cuts = np.flatnonzero(np.diff(diagonal[order]) > DRIFT) + 1
-        for some in np.split(order, cuts):
-            if len(some) < ENOUGH or len(np.unique(hashes[some])) < ENOUGH:
-                continue
-            d_lo, d_hi = int(diagonal[some].min()), int(diagonal[some].max())
-            for lo, hi in covered(at[some], before[some], after[some], hashes[some], t):
+        order = np.lexsort((diagonal, hub, x))
+        x, hub, at, before, after, hashes, diagonal = (c[order] for c in (x, hub, at, before, after, hashes, diagonal))
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (hub[1:] != hub[:-1]) | (np.diff(diagonal) > DRIFT)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(x))
+        kinds = np.bitwise_count(np.bitwise_or.reduceat(1 << hashes, begin))
+        for a, b in zip(begin[kinds >= ENOUGH].tolist(), end[kinds >= ENOUGH].tolist()):
+            for lo, hi in covered(at[a:b], before[a:b], after[a:b], hashes[a:b], t):
                 lo, hi = max(lo - GAP, 0), hi + GAP
-                out.append((x, lo, hi, hub, max(lo - d_hi - GAP, 0), hi - d_lo + GAP))
-        return out
+                yield int(x[a]), lo, hi, int(hub[a]), max(lo - int(diagonal[b - 1]) - GAP, 0), hi - int(diagonal[a]) + GAP
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["x", "x_lo", "x_hi", "hub", "hub_lo", "hub_hi"]
-        held: list[np.ndarray] | None = None
-
-        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
-            x, hub = columns[0], columns[1]
-            cuts = np.concatenate([[0], np.flatnonzero((x[1:] != x[:-1]) | (hub[1:] != hub[:-1])) + 1, [len(x)]]) if len(x) else np.array([0])
-            out: list[tuple] = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b - a >= ENOUGH:
-                    out += group(int(x[a]), int(hub[a]), *(c[a:b] for c in columns[2:]))
-            cols = list(zip(*out)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
-
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            now = now if held is None else [np.concatenate(c) for c in zip(held, now)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.empty(0, bool)
-            cut = int(np.argmax(same)) if len(same) else 0  # the last group may go on in the next batch
-            if cut:
-                yield done([c[:cut] for c in now])
-            held = [c[cut:] for c in now]
-        if held is not None:
-            yield done(held)
+        for columns in _by_bucket(batches, _PAIR):
+            cols = list(zip(*stretches(columns))) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-    dealt = pairs.select(*names).repartition("x").sortWithinPartitions("x", "hub", "at")
-    return dealt.mapInArrow(task, "x bigint, x_lo bigint, x_hi bigint, hub bigint, hub_lo bigint, hub_hi bigint")
+    return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, ", ".join(f"{n} bigint" for n in names))
 
 
 def _before(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -604,10 +628,12 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
-        memo = text.Words()
         for batch in batches:
-            seqs = [(text.shingles(memo.hashes(t.as_py()), SHINGLE) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(seqs, pa.binary())], names=["id", "seq"])
+            texts = batch.column("text").to_pylist()
+            for lo, hi in text.chunks(texts, 2_000_000):
+                flat, first = text.sequences(texts[lo:hi], SHINGLE)
+                seqs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((4 * first).astype("<i8")), pa.py_buffer((flat >> np.uint64(32)).astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), seqs.cast(pa.binary())], names=["id", "seq"])
 
     named = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     few = ids.count() <= BROADCAST_IDS
@@ -619,12 +645,11 @@ def passages(docs: DataFrame, min_words: int = 50, percent: int = 80) -> DataFra
     (doc_id, start_word, end_word, source_doc_id, source_start, source_end, similarity)."""
     docs, t = store.lean(docs), min_words - SHINGLE + 1
     buckets = 4 * store.partitions(docs.sparkSession)
-    met = store.saved(_met(_windows(docs, t, buckets)))
+    met = store.saved(_met(_windows(docs, t, buckets), buckets))
     pairs, classes = met.filter("value is null"), met.filter("value is not null")
     first = store.saved(classes.select(F.col("x").alias("id")).distinct())
     seqs = _sequences(docs, first)
-    names = [c.split()[0] for c in PAIRS.split(", ")]
-    found = store.saved(_stretches(pairs.select(*names).union(_held(classes, seqs, t)), t))
+    found = store.saved(_stretches(pairs.select("bucket", "pairs").union(_held(classes, seqs, t, buckets)), t))
     rest = found.select(F.col("x").alias("id")).union(found.select("hub")).distinct().join(first, "id", "left_anti")
     seqs = seqs.union(_sequences(docs, store.saved(rest)))
     part = lambda lo, hi: F.expr(f"substring(seq, cast(4 * {lo} + 1 as int), cast(4 * ({hi} - {lo} + 1) as int))")

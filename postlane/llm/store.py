@@ -12,14 +12,22 @@ from postlane.sources.places import filesystem, folder
 __all__ = ["filesystem", "folder", "lean", "mark", "partitions", "saved", "settled", "without_ids"]
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Tables that this process saved, in order.
 _MADE: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written once as a table in the shared folder and read back: its lineage ends there, and lost executors cost no rerun."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
+    """`df` written once as a table in the shared folder and read back: its lineage ends there, and lost executors cost no rerun.
+    What was shuffled to make it goes as soon as it is written, not when the driver happens to collect its garbage."""
+    path, conf = folder(df.sparkSession), df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, None)
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
     _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +54,30 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, end to end, each distinct word hashed once; and how many words each text has."""
+    rows = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    words = rows.flatten().dictionary_encode()
+    kinds = words.dictionary.cast(pa.large_binary())
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds.to_numpy(zero_copy_only=False)), np.uint64, len(kinds))
+    at = words.indices.to_numpy()
+    real = (pa.compute.binary_length(kinds).to_numpy() > 0)[at]  # white space at an end makes an empty word
+    return h[at[real]], np.diff(np.concatenate([[0], np.cumsum(real)])[rows.offsets.to_numpy()])
+
+
+def sequences(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `shingles` of each text, end to end, and where each text's begin, and the end of the last."""
+    h, counts = hashed(texts)
+    start = np.cumsum(counts) - counts
+    sizes = np.where(counts < k, np.minimum(counts, 1), counts - k + 1)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(first[-1]) + np.repeat(start - first[:-1], sizes)
+    out = shingles(h, k)[np.minimum(place, max(len(h) - k, 0))] if len(h) else h
+    for i in np.flatnonzero((counts > 0) & (counts < k)).tolist():
+        out[first[i]] = shingles(h[start[i] : start[i] + counts[i]], k)[0]
+    return out, first
+
+
 def chunks(texts: list, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of about `size` characters, so that long texts don't add up."""
     lo = total = 0

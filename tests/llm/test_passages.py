@@ -197,3 +197,53 @@ def test_verification_finds_every_stretch_between_edits():
             both = int(((shared >= lo) & (shared <= hi)).sum())
             if 100 * both >= 80 * (2 * (hi - lo + 1) - both):
                 assert set(range(lo, hi + 1)) <= covered
+
+
+def test_windows_search_no_farther_than_their_own_text():
+    """Staircases, ties and many short texts, against the plain search; before, each centre was a step of a Python loop."""
+    import sys
+
+    rng = np.random.default_rng(9)
+    for kind in range(4):
+        sizes = rng.integers(3, 400, 60)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        h = rng.integers(1, [4, 40, 2**63, 300][kind], first[-1]).astype(np.uint64)
+        if kind == 3:
+            h = np.concatenate([np.sort(h[a:b])[:: 1 if a % 2 else -1] for a, b in zip(first[:-1], first[1:])])
+        steps = []
+        sys.settrace(lambda frame, *_: (lambda *_: steps.append(1)) if frame.f_code.co_filename == P.__file__ else None)
+        try:
+            got = set(zip(*(x.tolist() for x in P.compact_windows(h, first, 3))))
+        finally:
+            sys.settrace(None)
+        want = {(c + b, left + b, right + b) for b, e in zip(first[:-1].tolist(), first[1:].tolist()) for c, left, right in brute_windows(h[b:e].tolist(), 3)}
+        assert want <= got and len(got) > 1000
+        assert len(steps) < 2 * len(got)
+
+
+def test_pairs_travel_packed_by_document(spark):
+    """One row for a bucket of pairs, not one for each pair; nothing is lost on the way, and a document's pairs stay together."""
+    rng = random.Random(13)
+    p = [f"n{rng.randrange(10**7)}" for _ in range(90)]
+    docs = spark.createDataFrame([(i, " ".join([f"x{i}", *p, f"y{i}"])) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    met = P._met(P._windows(docs, 46, 5), 5).filter("pairs is not null").collect()
+    (n,) = {len(r.pairs) % sum(np.dtype(k).itemsize for k in P._PAIR) for r in met}
+    columns = [np.concatenate(c) for c in zip(*(P._unpacked(bytes(r.pairs), P._PAIR) for r in met))]
+    buckets = {}
+    for r in met:
+        for x in P._unpacked(bytes(r.pairs), P._PAIR)[0].tolist():
+            buckets.setdefault(x, set()).add(r.bucket)
+    assert n == 0 and len(columns[0]) > 5 * len(met) and set(columns[0].tolist()) == set(range(1, 60)) and (columns[1] < columns[0]).all()
+    assert all(len(b) == 1 for b in buckets.values())
+
+
+def test_sequences_of_many_texts_at_once():
+    from postlane.llm import text
+
+    memo = text.Words()
+    texts = [None, "", " \t", "a", "A b", " a b c d e\n", "a\tb\x0bc\x0cd\re\nf g", "É b  c d e f", "x\x1cy b c d e f g", "b " * 30]
+    for k in (1, 3, 5):
+        for lo, hi in ((0, 1), (0, 3), (3, 10), (0, 10)):
+            flat, first = text.sequences(texts[lo:hi], k)
+            for i in range(lo, hi):
+                assert np.array_equal(flat[first[i - lo] : first[i - lo + 1]], text.shingles(memo.hashes(texts[i]), k))

@@ -36,3 +36,13 @@ def test_settled_keeps_the_last_table_only(spark):
     assert sorted(r.id for r in b.collect()) == [2, 3, 4] and os.path.isdir(left.removeprefix("file://"))
     assert not os.path.isdir(was)
 
+
+
+def test_what_was_shuffled_for_a_saved_table_goes_with_the_write(spark):
+    jvm, key = spark.sparkContext._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {f for f in str(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")).split() if "/shuffle_" in f}
+    was, before = spark.conf.get(key, None), files()
+    df = spark.range(1000).repartition(7, "id")
+    back = store.saved(df)
+    assert not files() - before and spark.conf.get(key, None) == was
+    assert back.count() == df.count() == 1000
