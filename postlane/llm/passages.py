@@ -193,6 +193,7 @@ def _windows(docs: DataFrame, t: int, buckets: int) -> DataFrame:
                 context = _contexts(flat >> np.uint64(32), c, np.minimum(before, t - 1), np.minimum(after, t - 1))
                 columns = [value, context, ids[owner[c]], (c - first[owner[c]]).astype("<u4"), before.astype("<u4"), after.astype("<u4")]
                 yield pa.RecordBatch.from_arrays([*_bucketed(columns, value, buckets, c)], names=["bucket", "windows"])
+        tokens.trim()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(task, "bucket bigint, windows binary")
 
@@ -634,6 +635,7 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 flat, first = text.sequences(texts[lo:hi], SHINGLE)
                 seqs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((4 * first).astype("<i8")), pa.py_buffer((flat >> np.uint64(32)).astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), seqs.cast(pa.binary())], names=["id", "seq"])
+        tokens.trim()
 
     named = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     few = ids.count() <= BROADCAST_IDS

@@ -17,6 +17,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 # White space besides blank and line end, of any definition.
 _ODD = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
@@ -152,6 +153,7 @@ def forget() -> None:
 
 
 def trim() -> None:
-    """Hand freed memory back to the system: workers stay between tasks, and so does what they once used."""
+    """Hand freed memory, Arrow's too, back to the system: workers stay between tasks, and so does what they once used."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
         ctypes.CDLL(None).malloc_trim(0)

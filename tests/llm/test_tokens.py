@@ -122,3 +122,21 @@ def test_remote_files_are_read_in_ranges(tmp_path):
     np.arange(1000, dtype="<u2").tofile(tmp_path / "a")
     remote = token_files._mapped(fs.SubTreeFileSystem("/", fs.LocalFileSystem()), str(tmp_path / "a")[1:], "<u2")
     assert remote[10:20].tolist() == list(range(10, 20)) and remote[5:5].tolist() == []
+
+
+def test_trim_releases_what_arrow_keeps(monkeypatch):
+    """A worker that had split texts by Arrow kept some 45 MB for the tasks after it."""
+    import pyarrow as pa
+
+    from postlane.llm import tokens
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    tokens.trim()
+    tokens.forget()
+    assert Pool.released == 2
